@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collisions, mixing, packing, pii, pivots, simhash, urlvocab
+from . import chat, collisions, langid, mixing, packing, pii, pivots, simhash, urlvocab
 from .common import table, words_of
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -19,8 +19,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), "doc_id", words_of(F.col("text")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id", "text", "lang")
+    return judged.select("doc_id", "language.held_out", F.col("language.lang").alias("lang_pred"), "language.score", "language.accepted")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=4, max_bits=4)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text", width=4, bits=64, max_bits=4)
 
 
 def op5_collision_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +82,4 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_near_duplicates, op2_best_fit_packing, op4_simhash, op5_collision_neighbours, op6_chat_format, op7_url_filter, op8_mixing, op9_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_pivot_near_duplicates, op2_best_fit_packing, op3_language_id, op4_simhash, op5_collision_neighbours, op6_chat_format, op7_url_filter, op8_mixing, op9_personal_data)}

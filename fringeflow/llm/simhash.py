@@ -1,14 +1,19 @@
 """SimHash near-duplicates through an inverted index over fingerprint bytes.
 
-A fingerprint is eight (position, byte) tokens.  Two fingerprints that differ
-in at most ``max_bits`` bits differ in at most that many bytes, so they share
-at least ``8 - max_bits`` tokens: the guaranteed minimum.  Sets that share m
-of 8 tokens hold a common pair inside one of m - 1 blocks of positions
-(pigeonhole), so the index is kept per two tokens of one block: seven posting
-lists per fingerprint for four bits, each 256 times more selective than one
-token's.  Inside a list the shared tokens of each pair are tallied, pairs
-below the minimum go, the others are verified by their differing bits.  Only
-links to the smallest fingerprint connected in the list leave it.
+A fingerprint is a set of (position, byte) tokens.  Two fingerprints that
+differ in at most ``max_bits`` bits differ in at most that many bytes, so
+they share at least ``n - max_bits`` of n tokens: the guaranteed minimum.
+Sets that share m tokens hold a common pair inside one of m - 1 blocks of
+positions (pigeonhole), so posting lists are kept per two tokens of one
+block: seven per fingerprint for 64 bits and four differing, each 256 times
+more selective than those of one token.  Inside a list the shared tokens of
+each pair are tallied, pairs below the minimum go, the others are verified by
+their differing bits.  Only links to one fingerprint of each group connected
+in the list leave it.
+
+With more differing bits than bytes to spare there is no such guarantee; then
+blocks have eight positions, and a pair is found with the probability that
+two bytes of a block agree: 0.99 at a Jaccard similarity of 0.8 with 256 bits.
 
 Scale: equal fingerprints are collapsed first with map-side combine, lists
 longer than ``block`` are dealt into chunks whose pairs are groups of their
@@ -24,12 +29,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import connected_components, durable, local_components, runs_of_groups
+from .common import connected_components, durable, free_name, local_components, runs_of_groups
+from .pivots import mix
 
 #: Texts are hashed in groups of about so many shingles.
 AT_ONCE = 1 << 16
 
+#: Lists up to this length are compared many at a time.
+SHORT = 32
+
 
 def shingle_hashes(text: str | None, width: int) -> list[int]:
     """XXH64 (seed 42) of the shingles of a text, repeats included."""
@@ -45,134 +55,189 @@ def shingle_hashes(text: str | None, width: int) -> list[int]:
     return [h(joined[s:e], 42) for s, e in zip(starts, ends[width - 1 :], strict=True)]
 
 
-def fingerprints(hashes: list[list[int]]) -> np.ndarray:
-    """For each list: bit b set where over half its members have it; zero for none."""
-    out = np.zeros(len(hashes), np.uint64)
+def fingerprints(hashes: list[list[int]], words: int = 1) -> np.ndarray:
+    """A row of ``words`` 64-bit words for each list: bits set where over half its members have them; zero for none.
+
+    The first word is of the hashes themselves, each further one of the hashes mixed anew.
+    """
+    out = np.zeros((len(hashes), words), np.uint64)
     full = [i for i, h in enumerate(hashes) if h]
     if not full:
         return out
     n = np.array([len(hashes[i]) for i in full])
     flat = np.fromiter((x for i in full for x in hashes[i]), np.uint64, n.sum())
-    bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     starts = np.r_[0, np.cumsum(n)[:-1]]
-    counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    out[full] = np.packbits(2 * counts > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+    for w in range(words):
+        bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        out[full, w] = np.packbits(2 * counts > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        flat = mix(flat)
     return out
 
 
-def with_fingerprint(df: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(id, text) to (id, fp): a fingerprint per row; zero for texts that are null or have no word."""
+def with_fingerprint(df: DataFrame, text_col: str, width: int, words: int = 1) -> DataFrame:
+    """``df`` with a binary more: each row's fingerprint, most significant byte first; zero for texts that are null or have no word.
+
+    The column is called ``fp``, with underscores in front where ``df`` has such a column.
+    """
+    name, at = free_name(df, "fp"), df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts, done = batch.column(1), []
-            group, size = [], 0
-            for t in texts:
+            done, group, size = [], [], 0
+            for t in batch.column(at):
                 group.append(shingle_hashes(t.as_py(), width))
                 size += len(group[-1])
                 if size >= AT_ONCE:
-                    done.append(fingerprints(group))
+                    done.append(fingerprints(group, words))
                     group, size = [], 0
-            done.append(fingerprints(group))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(done).view(np.int64))], ["id", "fp"])
+            done.append(fingerprints(group, words))
+            packed = [row.tobytes() for row in np.concatenate(done).astype(">u8")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, "id long, fp long")
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
 
 
-def position_pairs(minimum: int) -> list[tuple[int, int]]:
-    """Pairs of byte positions of which any ``minimum`` positions hold one.
+def position_pairs(n_bytes: int, max_bits: int) -> list[tuple[int, int]]:
+    """Pairs of byte positions within blocks.
 
-    Positions are dealt into minimum - 1 blocks as even as can be; of
-    ``minimum`` positions two lie in one block.
+    ``n_bytes - max_bits`` shared positions, if two or more, hold one of the
+    pairs, as there is one block less than that; otherwise blocks have eight
+    positions.
     """
-    blocks = [range(8)[k :: minimum - 1] for k in range(minimum - 1)]
-    return [p for b in blocks for p in combinations(b, 2)]
+    shared = n_bytes - max_bits
+    blocks = shared - 1 if shared >= 2 else -(-n_bytes // 8)
+    return [p for k in range(blocks) for p in combinations(range(n_bytes)[k::blocks], 2)]
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, *, width: int = 5, max_bits: int = 4, block: int = 4096
+    df: DataFrame, id_col: str, text_col: str, *, width: int = 5, bits: int = 256, max_bits: int = 48, block: int = 4096
 ) -> DataFrame:
     """One row per input row: (id, fingerprint, component_id).
 
-    ``fingerprint``: 16 lowercase hex digits over shingles of ``width``
-    words; ``component_id``: smallest id of the rows whose fingerprints are
-    reachable over links of at most ``max_bits`` differing bits (six at most,
-    so that two shared bytes are guaranteed).  Null and empty texts have
-    fingerprint zero, linked like any other.  Repeated rows share a
-    component; null ids take no part in the minimum.  An empty table gives
-    an empty result.  Other columns are neither read nor returned.
+    ``fingerprint``: lowercase hex digits, ``bits`` / 4 of them, over
+    shingles of ``width`` words; ``component_id``: smallest id of the rows
+    whose fingerprints are reachable over links of at most ``max_bits``
+    differing bits.  The defaults stand for a Jaccard similarity of 0.8 of
+    five-word shingles: 39 of 256 bits are expected to differ there, 48 leave
+    room for the spread of 6.  Null and empty texts have fingerprint zero,
+    linked like any other.  Repeated rows share a component; null ids take no
+    part in the minimum.  An empty table gives an empty result.  Other
+    columns are neither read nor returned.
     """
-    rows = durable(with_fingerprint(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", width))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("rep"))
-    links = linked_fingerprints(nodes.select("fp"), max_bits, block)
-    comps = connected_components(links)
-    labelled = nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = durable(with_fingerprint(texts, "text", width, bits // 64).select("id", "fp"))
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id())
+    nodes = durable(nodes)
+    comps = connected_components(linked_fingerprints(nodes.select("node", "fp"), bits, max_bits, block))
+    labelled = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     per_fp = labelled.join(smallest, "root").select("fp", "component_id")
-    return rows.join(per_fp, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return rows.join(per_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5, bits: int = 256, **options) -> DataFrame:
+    """One row of ``df`` for each near-duplicate group: that of the smallest id; same columns.
 
+    Null ids come after all others.  Of repeated rows one stays.
+    """
+    found = near_duplicates(df, id_col, text_col, width=width, bits=bits, **options)
+    found = found.select(F.col(id_col).alias("id"), F.unhex("fingerprint").alias("fp"), "component_id")
+    groups = F.coalesce(F.col("component_id").cast("string"), F.hex("fp"))  # a group of null ids has no smallest
+    first = found.groupBy(groups.alias("group")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("first"))
+    keep_id, keep_fp = free_name(df, "kept_id"), free_name(df, "kept_fp")
+    keep = first.select(F.col("first.id").alias(keep_id), F.col("first.fp").alias(keep_fp))
+    marked = with_fingerprint(df, text_col, width, bits // 64)
+    key = F.col(id_col).cast("long").eqNullSafe(F.col(keep_id)) & (F.col(marked.columns[-1]) == F.col(keep_fp))
+    return marked.join(keep, key, "inner").dropDuplicates([keep_id, keep_fp]).select(*df.columns)
+
+
+def linked_fingerprints(nodes: DataFrame, bits: int, max_bits: int, block: int) -> DataFrame:
+    """Links (a, b) between nodes that connect just what all links of ``max_bits`` bits connect; ``nodes``: (node, fp), each fp once."""
+    n_bytes = bits // 8
+    pairs = position_pairs(n_bytes, max_bits)
+
+    def post(batches):
+        for batch in batches:
+            if batch.num_rows:
+                raw = _raw(batch.column("fp"), n_bytes)
+                for k, (p, q) in enumerate(pairs):
+                    token = 65536 * k + 256 * raw[:, p].astype(np.int32) + raw[:, q]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(token)], ["node", "fp", "token"])
 
-def linked_fingerprints(fps: DataFrame, max_bits: int, block: int) -> DataFrame:
-    """Links (a, b) that connect just what all links of ``max_bits`` bits connect; ``fps``: distinct ``fp``."""
-    minimum = 8 - max_bits
-    byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(0xFF)
-    tokens = [(F.lit(65536 * k) + 256 * byte(p) + byte(q)).cast("int") for k, (p, q) in enumerate(position_pairs(minimum))]
-    posted = fps.select("fp", F.explode(F.array(*tokens)).alias("token"))
+    posted = nodes.mapInArrow(post, "node long, fp binary, token int")
     sizes = posted.groupBy("token").count().where("count > 1")
     parts = posted.join(sizes, "token").withColumn("n", F.ceil(F.col("count") / block).cast("int"))
-    parts = parts.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
+    parts = parts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    parts = parts.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp")
+    parts = parts.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "fp")
     keys = ["token", "lo", "hi"]
     parts = parts.repartition(*keys).sortWithinPartitions(*keys)
-    return durable(parts.mapInArrow(_tally(minimum, max_bits, keys), "a long, b long"))
+    return durable(parts.mapInArrow(_tally(n_bytes, max_bits, keys), "a long, b long"))
+
+
+def _raw(column, n_bytes: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, n_bytes)
+
+
+def _tally(n_bytes: int, max_bits: int, keys: list[str]):
+    minimum = max(2, n_bytes - max_bits)
+
+    def linked(x, y):
+        """Which pairs share enough bytes, and of those which differ in few enough bits."""
+        apart = x ^ y
+        shared = n_bytes - np.bitwise_count(bytes_that_differ(apart)).sum(axis=-1, dtype=np.int32)
+        few = np.bitwise_count(apart).sum(axis=-1, dtype=np.int32) <= max_bits
+        return (shared >= minimum) & few
 
+    def small(fp, starts, ends, at_once=1 << 18):
+        """Index pairs of all short lists that are linked, by list length."""
+        a_all, b_all = [], []
+        for n in np.unique(ends - starts):
+            i, j = np.triu_indices(n, 1)
+            first = starts[ends - starts == n]
+            for some in np.array_split(first, 1 + len(first) * len(i) // at_once):
+                a, b = ((some[:, None] + k).ravel() for k in (i, j))
+                hit = linked(fp[a], fp[b])
+                a_all.append(a[hit])
+                b_all.append(b[hit])
+        return a_all, b_all
 
-def _tally(minimum: int, max_bits: int, keys: list[str], rows_at_once: int = 256):
     def run(batches):
         for t in runs_of_groups(batches, keys):
             k = [t.column(c).to_numpy() for c in keys]
-            fp, own = t.column("fp").to_numpy().view(np.uint64), t.column("own").to_numpy()
+            node, own = t.column("node").to_numpy(), t.column("own").to_numpy()
+            fp = _raw(t.column("fp"), n_bytes).view(np.uint64)
             change = np.zeros(t.num_rows, bool)
             change[0] = True
             for c in k:
                 change[1:] |= c[1:] != c[:-1]
             starts = np.flatnonzero(change)
-            a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for s, e in zip(starts, np.r_[starts[1:], t.num_rows], strict=True):
+            ends = np.r_[starts[1:], t.num_rows]
+            short = (ends - starts <= SHORT) & (k[1][starts] == k[2][starts])
+            a_all, b_all = small(fp, starts[short], ends[short])
+            for s, e in zip(starts[~short], ends[~short], strict=True):
                 same = k[1][s] == k[2][s]
                 left = np.arange(s, e) if same else np.flatnonzero(own[s:e] == k[1][s]) + s
                 right = left if same else np.flatnonzero(own[s:e] != k[1][s]) + s
-                root = np.arange(s, e)
-                found = []
-                for r in range(0, len(left), rows_at_once):
-                    i = left[r : r + rows_at_once]
-                    apart = fp[i, None] ^ fp[None, right]
-                    x, y = np.nonzero(tally_reaches(apart, minimum))
-                    if same:
-                        x, y = x[i[x] < right[y]], y[i[x] < right[y]]
-                    x, y = (z[np.bitwise_count(apart[x, y]) <= max_bits] for z in (x, y))
-                    found.append((i[x] - s, right[y] - s))
-                    if sum(len(f[0]) for f in found) > 1 << 18:  # contract as they come
-                        root = _contract(e - s, found, root - s) + s
-                        found = []
-                root = _contract(e - s, found, root - s) + s
-                moved = np.flatnonzero(root != np.arange(s, e))
+                root = np.arange(e - s)
+                for i in np.array_split(left, 1 + len(left) * len(right) * fp.shape[1] // (1 << 20)):
+                    x, y = np.nonzero(linked(fp[i, None], fp[None, right]))
+                    root = _contract(e - s, [(i[x] - s, right[y] - s)], root)
+                moved = np.flatnonzero(root != np.arange(e - s))
                 a_all.append(moved + s)
-                b_all.append(root[moved])
-            a, b = np.concatenate(a_all), np.concatenate(b_all)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
+                b_all.append(root[moved] + s)
+            if a_all:
+                a, b = np.concatenate(a_all), np.concatenate(b_all)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     return run
 
 
-def tally_reaches(apart: np.ndarray, minimum: int) -> np.ndarray:
-    """Whether at least ``minimum`` of the eight bytes of each word are zero (shared)."""
+def bytes_that_differ(apart: np.ndarray) -> np.ndarray:
+    """The top bit of each byte that is not zero."""
     low7 = np.uint64(0x7F7F7F7F7F7F7F7F)
-    differs = (((apart & low7) + low7) | apart) & ~low7  # the top bit of each byte that is not zero
-    return np.bitwise_count(differs) <= 8 - minimum
+    return (((apart & low7) + low7) | apart) & ~low7
 
 
 def _contract(n: int, found: list, root: np.ndarray) -> np.ndarray:

@@ -29,6 +29,9 @@ from .common import connected_components, durable, local_components, runs_of_gro
 #: Groups up to this many vectors are compared as index pairs, larger ones as matrices.
 SMALL = 48
 
+#: Pivots closer than this would be ordered by noise.
+APART = 0.7
+
 
 def valid_vector(vec: str):
     """True where a vector is not null, not empty, finite and not zero."""
@@ -42,7 +45,8 @@ def choose_pivots(vectors: DataFrame, vec: str, n_pivots: int, sample: int) -> d
 
     The sample is the ``sample`` distinct vectors of smallest hash, a bound
     on what reaches the driver; from it pivots are taken farthest first, so
-    that a large group of near copies gives one pivot, not all of them.
+    that a large group of near copies gives one pivot, not all of them;
+    none is taken at a cosine above ``APART`` to another.
     """
     rows = vectors.select(vec).distinct().orderBy(F.xxhash64(vec), F.col(vec)).limit(sample).collect()
     by_length: dict[int, list] = {}
@@ -54,6 +58,8 @@ def choose_pivots(vectors: DataFrame, vec: str, n_pivots: int, sample: int) -> d
         taken, near = [0], x @ x[0]
         while len(taken) < min(n_pivots, len(x)):
             k = int(np.argmin(near))
+            if near[k] > APART:
+                break
             taken.append(k)
             near = np.maximum(near, x @ x[k])
         out[length] = x[taken]

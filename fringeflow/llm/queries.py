@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, collisions, langid, mixing, packing, pii, pivots, simhash, urlvocab
+from . import chat, collisions, langid, mixing, packing, pii, pivots, simhash, suffixes, urlvocab
 from .common import table, words_of
 
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -82,4 +82,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pivot_near_duplicates, op2_best_fit_packing, op3_language_id, op4_simhash, op5_collision_neighbours, op6_chat_format, op7_url_filter, op8_mixing, op9_personal_data)}
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"), "doc_id", "text", length=200).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_pivot_near_duplicates, op2_best_fit_packing, op3_language_id, op4_simhash, op5_collision_neighbours, op6_chat_format, op7_url_filter, op8_mixing, op9_personal_data, op10_repeated_passages)}

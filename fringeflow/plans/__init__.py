@@ -1,5 +1,8 @@
 """The operators bound to tables, with their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import diagnosis, grid_plans, network_plans, rule_plans, scalar_plans, series_plans, storage_plans  # noqa: F401
+from .registry import ORACLES, QUERIES
+
 FLAGSHIP = "network_pairs"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

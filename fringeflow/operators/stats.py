@@ -20,8 +20,8 @@ def cycle_mode(df: DataFrame, keys: Sequence[str], cycle: str, weight: Column |
     sums = df.where(F.col(cycle).isNotNull()).groupBy(*keys, cycle).agg(F.sum(w).alias("w"))
     k = F.col(cycle)
     best = F.max_by(F.struct(k.alias("mode"), F.col("w")), F.struct(F.col("w"), -F.abs(k), -k))
-    out = sums.groupBy(*keys).agg(best.alias("b"), F.sum("w").alias("total"))
-    return out.select(*keys, F.col("b.mode").alias("mode"), F.col("b.w").alias("weight"), "total", (F.col("b.w") / F.col("total")).alias("share"))
+    out = sums.groupBy(*keys).agg(best.alias("_best"), F.sum("w").alias("total"))
+    return out.select(*keys, F.col("_best.mode").alias("mode"), F.col("_best.w").alias("weight"), "total", (F.col("_best.w") / F.col("total")).alias("share"))
 
 
 def majority_label(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:

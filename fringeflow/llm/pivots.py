@@ -87,7 +87,7 @@ def near_duplicate_vectors(
     *,
     threshold: float = 0.93,
     n_pivots: int = 128,
-    prefix: int = 6,
+    prefix: int = 5,
     block: int = 2048,
     sample: int = 2048,
 ) -> DataFrame:
@@ -110,9 +110,9 @@ def near_duplicate_vectors(
 
     pivots = choose_pivots(distinct, "vec", n_pivots, sample)
     keyed = distinct.select("node", F.col("grp").cast("string").alias("grp"), "copies", "vec").mapInArrow(
-        _describe(pivots, prefix), "node long, copies long, vec array<double>, bits_lo long, bits_hi long, list_key long, p1 int, p2 int"
+        _describe(pivots, prefix), "node long, copies long, bits_lo long, bits_hi long, list_key long, p1 int, p2 int"
     )
-    found = durable(_verify(keyed, threshold, block))
+    found = durable(_verify(keyed, distinct.select("node", "vec"), threshold, block))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     labelled = distinct.select("node", "rep").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -155,12 +155,11 @@ def _describe(pivots: dict[int, np.ndarray], prefix: int):
                 order.sort(axis=1)
                 halves = [np.bitwise_or.reduce(h, axis=1).view(np.int64) for h in _bits(order)]
                 seeds = np.array([hash_text(f"{groups[i]}|{length}") for i in pick], np.uint64)
-                vecs = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * length), pa.array(x.ravel()))
                 for c, d in list(combinations(range(n_use), 2)) or [(0, 0)]:
                     p1, p2 = order[:, c].astype(np.int32), order[:, d].astype(np.int32)
                     key = mix(seeds ^ (p1.astype(np.uint64) * np.uint64(4096) + p2.astype(np.uint64) + np.uint64(1)))
-                    columns = [part.column("node"), part.column("copies"), vecs, *map(pa.array, (*halves, key.view(np.int64), p1, p2))]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "copies", "vec", "bits_lo", "bits_hi", "list_key", "p1", "p2"])
+                    columns = [part.column("node"), part.column("copies"), *map(pa.array, (*halves, key.view(np.int64), p1, p2))]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "copies", "bits_lo", "bits_hi", "list_key", "p1", "p2"])
 
     return run
 
@@ -178,13 +177,14 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text)
 
 
-def _verify(keyed: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, links, root) of the verified pairs in each inverted list."""
+def _verify(keyed: DataFrame, vectors: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, links, root) of the verified pairs in each inverted list; vectors move once, to the lists that have pairs."""
     sizes = keyed.groupBy("list_key").count().where("count > 1")
     parts = keyed.join(sizes, "list_key").withColumn("n", F.ceil(F.col("count") / block).cast("int"))
     parts = parts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     parts = parts.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("count", "n", "other")
+    parts = parts.join(vectors, "node")
     keys = ["list_key", "lo", "hi"]
     parts = parts.repartition(*keys).sortWithinPartitions(*keys)
     return parts.mapInArrow(_compare(threshold, keys), "node long, links long, root long")
@@ -202,7 +202,7 @@ def _compare(threshold: float, keys: list[str]):
             starts = np.flatnonzero(changed)
             ends = np.r_[starts[1:], t.num_rows]
             vecs = t.column("vec").combine_chunks()
-            offsets, flat = vecs.offsets.to_numpy(), vecs.values.to_numpy()
+            offsets, flat = vecs.offsets.to_numpy(), vecs.values.to_numpy(zero_copy_only=False)
             small = (ends - starts) <= SMALL
             links = np.zeros(t.num_rows, np.int64)
             pairs = [np.stack(np.triu_indices(e - s, 1)) + s for s, e in zip(starts[small], ends[small], strict=True)]
@@ -243,14 +243,14 @@ def _pairs(a, b, col, flat, offsets, threshold, at_once: int = 100_000):
     for width in np.unique(widths[a]):
         for k in np.array_split(np.flatnonzero(widths[a] == width), 1 + len(a) // at_once):
             part = np.arange(width)
-            x, y = flat[offsets[a[k], None] + part], flat[offsets[b[k], None] + part]
+            x, y = (unit(flat[offsets[i[k], None] + part].astype(np.float64)) for i in (a, b))
             linked[k] = np.einsum("ij,ij->i", x, y) >= threshold
     return a[linked], b[linked]
 
 
 def _block(s, e, col, flat, offsets, threshold):
     """Link counts and component roots inside one large list, by matrix products."""
-    x = flat[offsets[s] : offsets[e]].reshape(e - s, -1)
+    x = unit(flat[offsets[s] : offsets[e]].reshape(e - s, -1).astype(np.float64))
     own = col["own"][s:e]
     linked = x @ x.T >= threshold
     linked &= own[:, None] != own[None] if col["lo"][s] != col["hi"][s] else ~np.eye(e - s, dtype=bool)

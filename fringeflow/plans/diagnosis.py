@@ -1 +1,55 @@
-"""To come."""
+"""Log diagnosis over documents: the texts are logs, common words stand for failures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import diagnose
+from .registry import plan, table
+
+ENTRIES = (("KB-A", "any", r"^Licensed under", ()), ("KB-B", "any", r"password=\w+", ("KB-C",)), ("KB-C", "any", r"\bthe\b", ()), ("KB-D", "any", r"Copyright \(c\) \d+|License", ()))
+MARKERS = {"french": (r" le ", r" des "), "german": (r" der ", r" und "), "english": (r" the ", r" of "), "spanish": (r" los ", r" que ")}
+
+_T = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+def _entry(name, pattern):
+    p = f"(?m){pattern}"
+    return f"""select doc_id, '{name}' as entry, length(regexp_replace(t[1:instr(t, regexp_extract(t, '{p}')) - 1], '[^\n]', '', 'g')) + 1 as line_no,
+      cast(len(regexp_extract_all(t, '{p}')) as bigint) as count from d where regexp_matches(t, '{p}')"""
+
+
+@plan(f"""with d as (select doc_id, {_T} as t from documents), m as ({' union all '.join(_entry(e[0], e[2]) for e in ENTRIES)})
+  select doc_id, entry, count from m where not (entry = 'KB-C' and doc_id in (select doc_id from m where entry = 'KB-B'))""")
+def knowledge_base_matches(spark, sf_dir):
+    return diagnose.matches(table(spark, sf_dir, "documents"), "doc_id", "text", ENTRIES).select("doc_id", "entry", "count")
+
+
+@plan(f"""with d as (select doc_id, {_T} as t from documents), l as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as line_no from d),
+  k as (select *, case when regexp_matches(line, '^[A-Za-z_][\\w.]*(?:Error|Exception)\\b:?') then 'exception' when regexp_matches(line, '(?i)exit(?:ed)? (?:status|code) [1-9]') then 'exit'
+    when regexp_matches(line, '(?i)out of memory|cannot allocate memory') then 'oom' when regexp_matches(line, '(?i)^\\s*(?:error|fatal)\\b') then 'error' when regexp_matches(line, '(?i)\\babort(?:ed|ing)?\\b') then 'abort' end as kind from l)
+  select doc_id, cast(line_no as bigint) as line_no, kind, line from k where kind is not null""")
+def failure_events(spark, sf_dir):
+    return diagnose.events(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "line_no", "kind", "line")
+
+
+def _score(ms):
+    return " + ".join(f"least(len(regexp_extract_all(text, '{m}')), 5)" for m in ms)
+
+
+@plan(f"""with s as (select doc_id, unnest([{', '.join(f"{{'score': {_score(ms)}, 'engine': '{n}'}}" for n, ms in MARKERS.items())}]) as s from documents),
+  r as (select doc_id, s.engine as engine, s.score as score, row_number() over (partition by doc_id order by s.score desc) as n, count(*) over (partition by doc_id, s.score) as same from s)
+  select doc_id, case when score > 0 and same = 1 then engine end as engine from r where n = 1""")
+def engine_detection(spark, sf_dir):
+    return diagnose.engine_scores(table(spark, sf_dir, "documents"), "doc_id", "text", MARKERS)
+
+
+@plan("""with l as (select conv_id, turn, text, lag(text) over w as before, lead(text) over w as after from conversations window w as (partition by conv_id order by turn))
+  select conv_id, turn, length(coalesce(before, '')) + length(text) + length(coalesce(after, '')) as context_chars from l where text like '%the%'""")
+def context_lines(spark, sf_dir):
+    """Rows around each hit, by position."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-1, 1)
+    c = table(spark, sf_dir, "conversations").withColumn("context_chars", F.sum(F.length("text")).over(w))
+    return c.where("text like '%the%'").select("conv_id", "turn", "context_chars")

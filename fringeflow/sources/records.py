@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BURST = T.StructType.fromDDL(
+BURST = (
     "granule_id string, platform string, mode string, subswath string, full_burst_id string, relative_orbit int, absolute_orbit int, flight_direction string, polarization string, "
     "acquisition_time string, ipf_version string, range_pixel_spacing_m double, azimuth_pixel_spacing_m double, incidence_near_deg double, incidence_far_deg double, footprint_wkt string, url string, product_type string"
 )
@@ -14,9 +13,10 @@ BURST = T.StructType.fromDDL(
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """Burst records of a JSON file: a list, or an envelope with ``records`` at the top or under ``data``; ``seq`` keeps their order."""
-    records = T.ArrayType(BURST)
+    fields = ",".join(f"{n}:{k}" for n, k in (f.split() for f in BURST.split(", ")))
+    records = f"array<struct<{fields}>>"
     raw = spark.read.text(path, wholetext=True).select("value")
-    envelope = T.StructType([T.StructField("records", records), T.StructField("data", T.StructType([T.StructField("records", records)]))])
+    envelope = f"struct<records:{records},data:struct<records:{records}>>"
     own = F.from_json("value", envelope)
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", records))
     rows = raw.select(F.posexplode(F.coalesce(listed, own["records"], own["data"]["records"])).alias("seq", "r")).select("seq", "r.*")

@@ -89,7 +89,7 @@ def radius_join(sites: DataFrame, pixels: DataFrame, radius_m: float, site_id: s
     return p.join(s, "_band").select(site_id, pixel_id, d.alias("distance_m")).where(F.col("distance_m") <= radius_m)
 
 
-def nearest_planar(sites: DataFrame, pixels: DataFrame, site_id: str = "site", pixel_id: str = "pixel", most_pixels: int = 2_000_000) -> DataFrame:
+def nearest_planar(sites: DataFrame, pixels: DataFrame, site_id: str = "site", pixel_id: str = "pixel") -> DataFrame:
     """(site, pixel, d2): the nearest pixel by planar distance, the smaller pixel id on a tie.
 
     A site asks bands of latitude around its own, doubling the reach until

@@ -100,8 +100,10 @@ def skyline(df: DataFrame, keys: Sequence[str], row: str, smaller: Sequence[str]
     """Rows of each group that no other is as good as everywhere and better somewhere; rows with a null objective go.
 
     Points in the order of the first objective can be dominated only by those
-    before, so with two objectives one running minimum decides; with more,
-    the survivors of the first two meet the others of their group.
+    before, so with two objectives one running minimum decides.  With more,
+    rows are dealt into groups of about 4096, each keeps what none of its own
+    dominates, and the survivors, few unless the skyline itself is large, are
+    compared with each other.
     """
     goals = [F.col(c).cast("double") for c in smaller] + [-F.col(c).cast("double") for c in larger]
     known = df
@@ -114,6 +116,17 @@ def skyline(df: DataFrame, keys: Sequence[str], row: str, smaller: Sequence[str]
         per = per.withColumn("_low", F.min("_best").over(before))
         out = known.join(per, [*keys, "_g0"]).where((F.col("_g1") == F.col("_best")) & (F.col("_low").isNull() | (F.col("_g1") < F.col("_low"))))
     else:
+        width = len(goals)
+        dealt = known.withColumn("_salt", F.pmod(F.xxhash64(row), F.lit(max(1, known.count() // 4096))))
+
+        def local(pdf):
+            import numpy as np
+
+            g = pdf[[f"_g{k}" for k in range(width)]].to_numpy(float)
+            keep = [not ((g <= x).all(axis=1) & (g < x).any(axis=1)).any() for x in g]
+            return pdf[np.array(keep, bool)]
+
+        known = dealt.groupBy(*keys, "_salt").applyInPandas(local, dealt.schema)
         other = known.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(f"_g{k}").alias(f"_h{k}") for k in range(len(goals))])
         same = [F.col(k) == F.col(f"_{k}") for k in keys]
         no_worse = [F.col(f"_h{k}") <= F.col(f"_g{k}") for k in range(len(goals))]

@@ -145,3 +145,23 @@ def severity_counts(findings: DataFrame, stacks: DataFrame) -> DataFrame:
 def recommended(stacks: DataFrame, counts: DataFrame, n: int = 1) -> DataFrame:
     """The best stacks without a FAIL: most coverage, most dates, fewest warnings, smallest id."""
     return stacks.join(counts, "stack").where("n_fail = 0").orderBy(F.desc("coverage"), F.desc("n_dates"), "n_warn", "stack").limit(n)
+
+
+def precise_orbits(x: Inputs, available: DataFrame) -> DataFrame:
+    """INFO where dates are known to lack a precise orbit; ``available``: date, ok (null: unknown)."""
+    dates = x.records.select("stack", "date").distinct().join(available, "date").where("ok = false")
+    return finding(dates.groupBy("stack").agg(F.count(F.lit(1)).alias("n")), "SEL-11", "INFO", F.col("n"))
+
+
+def terrain(x: Inputs, stats: DataFrame, most: float) -> DataFrame:
+    """WARN where layover and shadow take more than ``most`` of the area, else INFO; ``stats``: direction, layover, shadow."""
+    s = x.stacks.join(stats, "direction").withColumn("bad", F.col("layover") + F.col("shadow"))
+    return finding(s, "SEL-12", F.when(F.col("bad") > most, "WARN").otherwise("INFO"), F.round("bad", 6))
+
+
+def credits(x: Inputs, cost: Column, budget: float) -> DataFrame:
+    """WARN where the pairs' jobs cost more than the budget, else INFO; unknown costs are told as such."""
+    n = x.pairs.groupBy("stack").agg(F.count(F.lit(1)).alias("n_pairs"))
+    s = n.join(x.stacks, "stack").withColumn("cost", cost)
+    total = F.col("cost") * F.col("n_pairs")
+    return finding(s, "SEL-13", F.when(total > budget, "WARN").otherwise("INFO"), F.coalesce(total.cast("long").cast("string"), F.lit("unknown")))

@@ -99,6 +99,30 @@ def _print(links: DataFrame) -> tuple:
     return tuple(row)
 
 
+#: Long lists up to this many are broadcast to the postings.
+FEW_LISTS = 50_000
+
+
+def dealt_lists(posted: DataFrame, key: str, node: str, block: int) -> DataFrame:
+    """Postings with ``own``, ``lo``, ``hi``: a list's chunk of each row, and the two chunks compared where it goes.
+
+    Lists of more than ``block`` rows are dealt into chunks by a hash of the
+    node, and every row goes to each pair of chunks that holds its own.  Only
+    the sizes of such lists are joined back, broadcast if they are few;
+    postings of all others are not moved here.
+    """
+    long = posted.groupBy(key).count().where(F.col("count") > block)
+    long = durable(long.select(key, F.ceil(F.col("count") / block).cast("int").alias("chunks")))
+    n = long.count()
+    zero = F.lit(0)
+    if not n:
+        return posted.withColumns({"own": zero, "lo": zero, "hi": zero})
+    parts = posted.join(F.broadcast(long) if n <= FEW_LISTS else long, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    parts = parts.withColumn("own", F.pmod(F.xxhash64(node), F.col("chunks")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return parts.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("chunks", "other")
+
+
 def runs_of_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of whole groups, from record batches sorted by ``keys``.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, local_components, runs_of_groups
+from .common import connected_components, dealt_lists, durable, local_components, runs_of_groups
 
 #: Groups up to this many vectors are compared as index pairs, larger ones as matrices.
 SMALL = 48
@@ -178,12 +178,8 @@ def hash_text(text: str) -> int:
 
 
 def _verify(keyed: DataFrame, vectors: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, links, root) of the verified pairs in each inverted list; vectors move once, to the lists that have pairs."""
-    sizes = keyed.groupBy("list_key").count().where("count > 1")
-    parts = keyed.join(sizes, "list_key").withColumn("n", F.ceil(F.col("count") / block).cast("int"))
-    parts = parts.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    parts = parts.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("count", "n", "other")
+    """(node, links, root) of the verified pairs in each inverted list; vectors join the postings last and move once per list."""
+    parts = dealt_lists(keyed, "list_key", "node", block)
     parts = parts.join(vectors, "node")
     keys = ["list_key", "lo", "hi"]
     parts = parts.repartition(*keys).sortWithinPartitions(*keys)

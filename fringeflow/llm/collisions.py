@@ -33,9 +33,9 @@ def nearest_neighbours(
     vec_col: str,
     *,
     k: int = 10,
-    projections: int = 96,
-    threshold: float = 0.58,
-    growth: float = 1.15,
+    projections: int = 48,
+    threshold: float = 0.6,
+    growth: float = 1.2,
     block: int = 16384,
     query_block: int = 16384,
     seed: int = 7,
@@ -107,11 +107,11 @@ def _in_block(ids, x, q_ids, qs, k, m, threshold, growth, seed):
     n = len(x)
     # the first radius: a small quantile of distances between a few vectors of the block
     some = x[:: max(1, n // 64)]
-    first = np.quantile(np.sqrt(np.maximum(0, ((some[:, None] - some[None]) ** 2).sum(-1))), 0.05) / 4 if n else 1.0
+    first = np.quantile(np.sqrt(np.maximum(0, ((some[:, None] - some[None]) ** 2).sum(-1))), 0.05) / 2 if n else 1.0
     first = first if first > 0 else 1e-6
     out_q, out_i, out_s = [], [], []
     for q_id, q, at in zip(q_ids, qs, qs @ a, strict=True):
-        counts = np.zeros(n, np.int16)
+        counts = np.zeros(n, np.uint8 if m < 256 else np.int32)
         centre = np.clip(at, -reach, reach) + shift
         lo = np.clip(np.searchsorted(arrays, centre) - np.arange(m) * n, 0, n)
         hi = lo.copy()

@@ -61,21 +61,50 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+#: Links contracted in one task at most.
+LINKS_AT_ONCE = 1 << 20
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) to links from each node to the smallest one connected here; at most one a node."""
+    a = b = np.zeros(0, np.int64)
+
+    def forest(a, b):
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_components(len(nodes), at[: len(a)], at[len(a) :])
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return nodes[moved], nodes[root[moved]]
+
+    for batch in batches:
+        a = np.concatenate([a, batch.column(0).to_numpy()])
+        b = np.concatenate([b, batch.column(1).to_numpy()])
+        if len(a) > LINKS_AT_ONCE:
+            a, b = forest(a, b)
+    a, b = forest(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an undirected edge list of longs.
 
-    ``root`` is the smallest node reachable.  Alternating large-star and
-    small-star contraction: every round is two grouped minima joined back to
-    the edges, so a node of any degree is a grouped minimum with map-side
-    combine and a join that adaptive execution may split; nothing is gathered
-    in a task or on the driver.  Rounds grow with the logarithm of the
-    longest path.  Each round is cut by a reliable checkpoint.  Null ends and
-    self-links are ignored; an empty list gives an empty result.
+    ``root`` is the smallest node reachable.  Links are first contracted in
+    tasks of about ``LINKS_AT_ONCE`` of them: a large group of near copies
+    shrinks from links in every list to one a node.  Where one such task
+    holds all links, that is the answer.  Otherwise follow rounds of
+    alternating large-star and small-star contraction, each two grouped
+    minima joined back to the links, so a node of any degree is a grouped
+    minimum with map-side combine and a join that adaptive execution may
+    split; nothing is gathered in a task or on the driver.  Rounds grow with
+    the logarithm of the longest path and are cut by reliable checkpoints.
+    Null ends and self-links are ignored; an empty list gives an empty
+    result.
     """
-    links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    links = durable(links)
+    given = durable(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b")))
+    n = given.count()
+    parts = -(-n // LINKS_AT_ONCE) or 1
+    links = durable(given.coalesce(parts).mapInArrow(_contract, "u long, v long").distinct())
     seen = _print(links)
-    while seen[0]:
+    while parts > 1 and seen[0]:
         both = links.union(links.select("v", "u"))
         low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

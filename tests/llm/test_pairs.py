@@ -27,7 +27,9 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("at_once", [common.LINKS_AT_ONCE, 50])
+def test_connected_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(common, "LINKS_AT_ONCE", at_once)
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, k) for k in range(5001, 5100)]
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(links + [(None, 3), (4, 4)], "a long, b long")).collect()}

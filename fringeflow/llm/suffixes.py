@@ -10,7 +10,8 @@ along.
 
 1. Tasks find the anchors of their texts.  Anchors whose hash occurs once
    (their distinguishing prefix is no longer than ``anchor``) are dropped by
-   a count per hash; all that follows is exact on bytes.
+   a count per hash, with map-side combine, and a join that adaptive
+   execution may split; all that follows is exact on bytes.
 2. The suffixes of the others are sorted in each task and sent as front-coded
    runs: each suffix as its common prefix with the one before and the rest.
 3. Each receiving task merges its runs by a loser tree whose players carry
@@ -33,7 +34,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import durable
 
@@ -41,7 +41,7 @@ BASE = 0x9E3779B97F4A7C15 | 1
 WORD = 1 << 64
 
 #: Bytes of text worked on at once, and bytes of suffixes in a sorted run, about.
-AT_ONCE, RUN = 1 << 20, 1 << 25
+AT_ONCE, RUN = 1 << 18, 1 << 24
 
 #: Groups of equal prefixes up to this size are compared in pairs.
 FEW = 6
@@ -462,7 +462,8 @@ def repeated_passages(df: DataFrame, id_col: str, text_col: str, *, length: int
     texts = rows.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("k1"), F.sha2("text", 256).alias("hex"), "text")
 
     found = texts.select("k1", "text").mapInArrow(_find(length, anchor), "k1 long, gram long, packed long")
-    again = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("n > 1")
+    several = durable(found.groupBy("gram").count().where("count > 1").select("gram"))
+    again = found.join(several, "gram", "left_semi")
     per_text = again.groupBy("k1").agg(F.collect_set(F.struct("gram", "packed")).alias("a"))
     per_text = per_text.select("k1", F.col("a.gram").alias("grams"), F.col("a.packed").alias("packed"))
     moved = texts.select("k1", F.unhex("hex").alias("key"), "text").mapInArrow(_pack_texts, "k1 long, key binary, packed_text binary")

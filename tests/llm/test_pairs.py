@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from fringeflow.llm import collisions, common, pivots, queries, simhash
+import corpus_pipeline
+from fringeflow.llm import collisions, common, pivots, queries, shingles, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -141,6 +142,46 @@ def test_wide_fingerprints_find_near_copies_and_leave_others(spark):
     assert wanted >= 0.98 * len(rows)
 
 
+def brute_similar(rows, threshold=0.8):
+    """The ids that stay, from all pairs of shingle sets."""
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9]
+    comp = components(range(len(rows)), links)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[comp[i]] = min(low.get(comp[i], d), d)
+    return sorted(set(low.values())), len(links)
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_similar_texts_are_those_of_the_threshold(spark, monkeypatch, block):
+    """Pairs on both sides of 0.8, a line in every text, and groups larger than a chunk, against brute force."""
+    monkeypatch.setattr(shingles, "CHUNK", min(block, shingles.CHUNK))
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
+    line = " ".join(word() for _ in range(12))
+    rows = []
+    for k in range(150):
+        words = [word() for _ in range(rng.choice((4, 9, 30, 150, 400)))]
+        for c in range(4):  # a run of new words brings similarity to 0.6 and more
+            other = list(words)
+            n = rng.randrange(max(1, len(other) // 4))
+            at = rng.randrange(len(other) - n + 1)
+            other[at : at + n] = [word() for _ in range(n)]
+            rows.append((4 * k + c, " ".join(other) + (" " + line) * rng.choice((0, 0, 1, 9))))
+    base = [word() for _ in range(200)]
+    for k in range(90):
+        base[rng.randrange(200)] = word()
+        rows.append((1000 + k, " ".join(base)))
+    rows += [(2000, None), (2001, " "), (2002, "One"), (2003, "one")]
+    want, links = brute_similar(rows)
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, node int")
+    got = corpus_pipeline.near_duplicates(spark, df, SF) if block == 4096 else shingles.without_similar(df, "doc_id", "text", block=block)
+    assert got.columns == ["doc_id", "text", "node"]
+    assert sorted(r.doc_id for r in got.collect()) == want and links > 400
+
+
 def brute_neighbours(rows, k=10):
     good = [r for r in rows if r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     ids, x = np.array([r[0] for r in good]), np.array([r[1] for r in good], float)

@@ -56,6 +56,21 @@ def test_language_edges(spark):
     assert [r.lang for r in unlabelled] == ["und"]
 
 
+@pytest.mark.parametrize("gone", ["de", "en", "es", "fr"])
+def test_language_rejects_strange_texts(spark, gone):
+    """A language without labels and texts read backwards go, held-out texts of labelled languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    label = F.when(F.col("lang") != gone, F.col("lang"))
+    rows = docs.select("doc_id", "text", label.alias("label"), F.col("lang").alias("true")).union(
+        docs.select("doc_id", F.reverse("text"), F.lit(None).cast("string"), F.lit("backwards"))
+    )
+    got = collections.defaultdict(list)
+    for r in langid.identify(rows, "doc_id", "text", "label").where("length(text) >= 100").select("true", "language.*").collect():
+        got["strange" if r.true == gone else r.true if r.true == "backwards" else "own" if r.held_out else "trained"].append(r.accepted)
+    share = {k: sum(v) / len(v) for k, v in got.items()}
+    assert share["strange"] <= 0.02 and share["backwards"] <= 0.01 and share["own"] >= 0.99, share
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all continuations of a context, the model's probabilities add up to about one."""
     import numpy as np

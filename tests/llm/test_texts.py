@@ -71,6 +71,22 @@ def test_language_rejects_strange_texts(spark, gone):
     assert share["strange"] <= 0.02 and share["backwards"] <= 0.01 and share["own"] >= 0.99, share
 
 
+def test_language_rejection_is_set_for_rare_languages_and_among_copies(spark):
+    """A language of few rows has a range of its own, and a third of all rows being one text changes nothing."""
+    rng = random.Random(4)
+    made = lambda words: " ".join(rng.choice(words) for _ in range(60))
+    vocabulary = {x: ["".join(rng.choice(a) for _ in range(rng.randrange(3, 7))) for _ in range(40)] for x, a in (("often", "abcdefgh"), ("rare", "stuvwxyz"))}
+    rows = [(made(vocabulary["often"]), "often") for _ in range(400)] + [(made(vocabulary["rare"]), "rare") for _ in range(4)]
+    rows += [("abc def gha " * 20, "often")] * 200
+    m = langid.train(spark.createDataFrame(rows, "text string, lang string"), F.col("text"), F.col("lang"), calibration=20)
+    assert all(abs(x) < 100 for x in [*m.mean, *m.limit])
+    letters = "stuvwxyz"
+    strange = ["".join(rng.choice(letters + " ") for _ in range(300)) for _ in range(20)]
+    own = [made(vocabulary["rare"]) for _ in range(20)]
+    got = langid._score(strange + own, m, 4.0)
+    assert set(got["best"]) == {"rare"} and not got["accepted"][:20].any() and got["accepted"][20:].all()
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all continuations of a context, the model's probabilities add up to about one."""
     import numpy as np

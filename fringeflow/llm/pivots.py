@@ -1,8 +1,9 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
 Every vector is described by the ordered list of its ``prefix`` nearest
-reference points (pivots).  Two vectors are compared only if they share at
-least two pivots of those lists.  The inverted lists are kept for every two
+reference points (pivots), seen from the centre of a sample, so that vectors
+of one narrow cone have lists of their own too.  Two vectors are compared
+only if they share at least two pivots of those lists.  The inverted lists are kept for every two
 pivots, so that a list already holds only vectors
 with the wanted shared-pivot count; a pair that meets in several lists is
 counted in the one of its smallest common pivots alone.  Pairs are verified
@@ -17,6 +18,7 @@ come from a bounded sample of ``sample`` vectors; every vector is indexed.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -24,14 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, dealt_lists, durable, local_components, runs_of_groups
+from .common import connected_components, dealt_lists, durable, local_components, runs_of_groups, spread_join
 
 #: Groups up to this many vectors are compared as index pairs, larger ones as matrices.
 SMALL = 48
 
-#: Pivots closer than this would be ordered by noise.
-APART = 0.7
-
 
 def valid_vector(vec: str):
     """True where a vector is not null, not empty, finite and not zero."""
@@ -40,13 +39,44 @@ def valid_vector(vec: str):
     return F.coalesce(x.isNotNull() & ok & F.exists(x, lambda e: e != 0), F.lit(False))
 
 
-def choose_pivots(vectors: DataFrame, vec: str, n_pivots: int, sample: int) -> dict[int, np.ndarray]:
-    """Up to ``n_pivots`` unit pivots per vector length, spread out.
+@dataclass
+class Pivots:
+    """Reference points of one vector length: the centre, and unit vectors seen from there."""
+
+    centre: np.ndarray
+    points: np.ndarray
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The ``n`` nearest pivots of each row, in order."""
+        return np.argsort(-((x - self.centre) @ self.points.T), axis=1, kind="stable")[:, :n]
+
+
+def random_pivots(length: int, n_pivots: int) -> Pivots:
+    """Pivots for a length that the sample lacks: directions drawn by a seed."""
+    return Pivots(np.zeros(length), unit(np.random.default_rng(length).standard_normal((n_pivots, length))))
+
+
+def _spread(x: np.ndarray, most: int, apart: float) -> list[int]:
+    """Rows of ``x``, each the farthest from those before, as long as its cosine to all of them is at most ``apart``."""
+    taken, near = [0], x @ x[0]
+    while len(taken) < min(most, len(x)):
+        k = int(np.argmin(near))
+        if near[k] > apart:
+            break
+        taken.append(k)
+        near = np.maximum(near, x @ x[k])
+    return taken
+
+
+def choose_pivots(vectors: DataFrame, vec: str, n_pivots: int, sample: int, apart: float) -> dict[int, Pivots]:
+    """``n_pivots`` pivots per vector length, spread out.
 
     The sample is the ``sample`` distinct vectors of smallest hash, a bound
-    on what reaches the driver; from it pivots are taken farthest first, so
-    that a large group of near copies gives one pivot, not all of them;
-    none is taken at a cosine above ``APART`` to another.
+    on what reaches the driver.  Of vectors with cosines above ``apart`` one
+    stands for all, so that a group of near copies neither gives several
+    pivots, which noise would order, nor moves the centre, the mean of those
+    that stand.  Pivots are taken farthest first, seen from the centre;
+    lengths with fewer of them get directions drawn by a seed for the rest.
     """
     rows = vectors.select(vec).distinct().orderBy(F.xxhash64(vec), F.col(vec)).limit(sample).collect()
     by_length: dict[int, list] = {}
@@ -55,14 +85,12 @@ def choose_pivots(vectors: DataFrame, vec: str, n_pivots: int, sample: int) -> d
     out = {}
     for length, vs in by_length.items():
         x = unit(np.array(vs, dtype=np.float64))
-        taken, near = [0], x @ x[0]
-        while len(taken) < min(n_pivots, len(x)):
-            k = int(np.argmin(near))
-            if near[k] > APART:
-                break
-            taken.append(k)
-            near = np.maximum(near, x @ x[k])
-        out[length] = x[taken]
+        x = x[_spread(x, len(x), apart)]
+        centre = x.mean(axis=0) if len(x) > 2 else np.zeros(length)
+        x = x - centre
+        x = unit(x[np.abs(x).max(axis=1) > 1e-12])
+        x = x[_spread(x, n_pivots, 1.0)] if len(x) else x
+        out[length] = Pivots(centre, np.concatenate([x, random_pivots(length, n_pivots).points])[:n_pivots])
     return out
 
 
@@ -87,7 +115,7 @@ def near_duplicate_vectors(
     *,
     threshold: float = 0.93,
     n_pivots: int = 128,
-    prefix: int = 5,
+    prefix: int = 6,
     block: int = 2048,
     sample: int = 2048,
 ) -> DataFrame:
@@ -98,8 +126,8 @@ def near_duplicate_vectors(
     Null groups, null, empty or zero vectors and vectors with null or
     non-finite parts link with nothing: no links, their own id.  Vectors of
     different lengths never link.  Repeated rows are copies of each other and
-    count as links.  An empty table gives an empty result.  Other columns of
-    ``df`` are neither read nor returned.
+    count as links.  Ids are whole numbers.  An empty table gives an empty
+    result.  Other columns of ``df`` are neither read nor returned.
     """
     group = F.col(group_col) if group_col else F.lit(0)
     rows = df.select(F.col(id_col).cast("long").alias("id"), group.alias("grp"), F.col(vec_col).alias("vec"))
@@ -108,16 +136,16 @@ def near_duplicate_vectors(
     distinct = good.groupBy("grp", "vec").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     distinct = durable(distinct.withColumn("node", F.monotonically_increasing_id()))
 
-    pivots = choose_pivots(distinct, "vec", n_pivots, sample)
+    pivots = choose_pivots(distinct, "vec", n_pivots, sample, threshold - 0.1)
     keyed = distinct.select("node", F.col("grp").cast("string").alias("grp"), "copies", "vec").mapInArrow(
-        _describe(pivots, prefix), "node long, copies long, bits_lo long, bits_hi long, list_key long, p1 int, p2 int"
+        _describe(pivots, prefix, n_pivots), "node long, copies long, bits_lo long, bits_hi long, list_key long, p1 int, p2 int"
     )
     found = durable(_verify(keyed, distinct.select("node", "vec"), threshold, block))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     labelled = distinct.select("node", "rep").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_node = labelled.join(smallest, "root").select("node", "component_id").join(counts, "node", "left")
+    per_node = spread_join(labelled, smallest, "root", "node").select("node", "component_id").join(counts, "node", "left")
     classes = distinct.join(per_node, "node").select(
         "grp", "vec", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
@@ -134,7 +162,7 @@ def _bits(pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(pivot < 64, one, zero), np.where(pivot < 64, zero, one)
 
 
-def _describe(pivots: dict[int, np.ndarray], prefix: int):
+def _describe(pivots: dict[int, Pivots], prefix: int, n_pivots: int):
     """A row for each vector and each two pivots of its prefix: the list's key and all the prefix's pivots as bits."""
 
     def run(batches):
@@ -147,12 +175,10 @@ def _describe(pivots: dict[int, np.ndarray], prefix: int):
                 pick = np.flatnonzero(lengths == length)
                 part = batch.take(pa.array(pick))
                 x = unit(_matrix(part.column("vec")))
-                p = pivots.get(int(length))
-                if p is None:  # no vector of this length in the sample: one list for each group
-                    p = np.zeros((1, length))
-                n_use = min(prefix, len(p))
-                order = np.argsort(-(x @ p.T), axis=1, kind="stable")[:, :n_use]
-                order.sort(axis=1)
+                p = pivots.get(int(length)) or random_pivots(int(length), n_pivots)
+                n_use = min(prefix, len(p.points))
+                order = p.nearest(x, n_use)
+                order.sort(axis=1)  # which pivots are in the prefix is settled; lists go by their numbers
                 halves = [np.bitwise_or.reduce(h, axis=1).view(np.int64) for h in _bits(order)]
                 seeds = np.array([hash_text(f"{groups[i]}|{length}") for i in pick], np.uint64)
                 for c, d in list(combinations(range(n_use), 2)) or [(0, 0)]:

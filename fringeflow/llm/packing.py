@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import durable, runs_of_groups
 
 
+#: Tasks at most; shards are dealt to them in turn.
+MOST_TASKS = 20_000
+
+
 def best_fit(sizes: np.ndarray, lengths: Sequence[int], overhead: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], list[int]]:
     """(sequence, slot, offset) of each piece, and each sequence's length and words, for sizes sorted falling."""
     lengths = sorted(lengths)
@@ -96,22 +100,28 @@ def pack_documents(
 
     ``size`` is a long expression over ``df``; rows of null or no size have
     no piece.  ``start`` is the piece's first word in its document, ``offset``
-    its place in the sequence.  Repeated rows are packed each.  Null ids are
-    packed like others.  An empty table gives an empty result.  Other columns
+    its place in the sequence.  Repeated rows are packed each, told apart by
+    a number.  Null ids are packed like others.  The result depends on the
+    rows alone, not on how they are partitioned: pieces of equal size go by
+    id, then piece, then copy.  An empty table gives an empty result.  Other columns
     are read only as far as ``size`` needs them, and not returned.
     """
     top = max(lengths)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("words")).where("words > 0")
-    rows = durable(rows)
-    total = rows.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    shards = -(-total // shard_size) or 1
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / top))))
+    rows = durable(rows.groupBy("id", "words").count())
+    total = rows.agg(F.coalesce(F.sum(F.col("words") * F.col("count")), F.lit(0))).first()[0]
+    shards = int(-(-total // shard_size) or 1)
+    # copies of a row are numbered, in two steps so that no array is long
+    zero, some = F.lit(0).cast("long"), F.lit(1 << 16).cast("long")
+    each = rows.withColumn("run", F.explode(F.sequence(zero, F.floor((F.col("count") - 1) / some))))
+    each = each.withColumn("copy", F.explode(F.sequence(F.col("run") * some, F.least(F.col("count"), (F.col("run") + 1) * some) - 1)))
+    pieces = each.withColumn("piece", F.explode(F.sequence(zero, F.floor((F.col("words") - 1) / top))))
     pieces = pieces.withColumn("start", F.col("piece") * top)
-    pieces = pieces.withColumn("size", F.least(F.lit(top).cast("long"), F.col("words") - F.col("start"))).drop("words")
-    # repeated rows hash alike: whole copies of a document may meet in one shard, so the row's place is dealt in too
-    place = F.pmod(F.monotonically_increasing_id(), F.lit(1024))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", place, F.lit(seed)), F.lit(shards)))
-    pieces = pieces.repartition(int(shards), "shard").sortWithinPartitions("shard", F.desc("size"), "id", "piece")
+    pieces = pieces.withColumn("size", F.least(F.lit(top).cast("long"), F.col("words") - F.col("start")))
+    shard = F.pmod(F.xxhash64("id", "words", "piece", "copy", F.lit(seed)), F.lit(shards)).cast("int")
+    pieces = pieces.select(shard.alias("shard"), "id", "piece", "start", "size", "copy")
+    pieces = pieces.repartitionById(min(shards, MOST_TASKS), F.col("shard") % min(shards, MOST_TASKS))
+    pieces = pieces.sortWithinPartitions("shard", F.desc("size"), "id", "piece", "copy")
 
     def run(batches):
         for t in runs_of_groups(batches, ["shard"]):

@@ -7,7 +7,7 @@ have no counterpart there.
 
 from __future__ import annotations
 
-from . import urlvocab
+from . import pii, urlvocab
 
 _VECTORS = """
 with recursive usable as (
@@ -62,28 +62,35 @@ def _pii_sql() -> str:
     patterns = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[ -]?[0-9])+",
         "phone": r"\+[0-9][ ().0-9-]+[0-9]", "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,6}(?: ?[A-Z0-9]{1,4})?\b",
+        "secret": r"\b[A-Za-z0-9]{32,64}\b",
     }
+    context = {k.name: k for k in pii.KINDS}
     pieces = " union all ".join(
         f"select doc_id, {k} as k, '{name}' as kind, string_split(regexp_replace(t, '({p})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) as pieces from d" for k, (name, p) in enumerate(patterns.items())
     )
     digit = "cast(digits[i] as int)"
+    worth = " ".join(f"when '{name}' then {round(100 * k.score)} + case when regexp_matches(near, '(?i)(?:^|[^A-Za-z])(?:{k.context})') then {round(100 * pii.BONUS)} else 0 end" for name, k in context.items())
     return f"""
 with d as (select doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) as t from documents),
 s as (select * from ({pieces}) where len(pieces) > 1),
 e as (select doc_id, k, kind, unnest(pieces) as piece, generate_subscripts(pieces, 1) as n from s),
 a as (select doc_id, k, kind, n, split_part(piece, chr(2), 1) as m, piece,
         sum(length(piece) - case when n > 1 then 1 else 0 end) over (partition by doc_id, k order by n rows between unbounded preceding and current row) - (length(piece) - case when n > 1 then 1 else 0 end) as start from e),
-m as (select *, regexp_replace(m, '[^0-9]', '', 'g') as digits, replace(m, ' ', '') as bare from a where n > 1),
-ok as (select doc_id, k, kind, cast(start as bigint) as start, cast(start + length(m) as bigint) as stop from m where case kind
+m as (select a.*, regexp_replace(m, '[^0-9]', '', 'g') as digits, replace(m, ' ', '') as bare,
+        substr(t, cast(greatest(start - {pii.NEAR}, 0) as bigint) + 1, cast(least(start, {pii.NEAR}) as bigint)) || ' ' || substr(split_part(piece, chr(2), 2), 1, {pii.NEAR}) as near from a join d using (doc_id) where n > 1),
+w as (select *, case kind {worth} end as worth from m),
+ok as (select doc_id, k, kind, worth, cast(start as bigint) as start, cast(start + length(m) as bigint) as stop from w where case kind
     when 'email' then true
     when 'ip' then len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or (length(ltrim(p, '0')) > 0 and cast(ltrim(p, '0') as bigint) > 255))) = 0
+    when 'secret' then regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and worth >= 70
     when 'phone' then length(digits) between 8 and 15
     when 'card' then length(digits) between 16 and 19 and list_sum(list_transform(generate_series(1, length(digits)),
         lambda i: case when (length(digits) - i) % 2 = 0 then {digit} when {digit} >= 5 then 2 * {digit} - 9 else 2 * {digit} end)) % 10 = 0
-    else length(bare) between 15 and 34 and list_reduce(list_prepend(0, list_transform(string_split(bare[5:] || bare[1:4], ''), lambda c: ascii(c))),
+    else worth >= 70 and length(bare) between 15 and 34 and list_reduce(list_prepend(0, list_transform(string_split(bare[5:] || bare[1:4], ''), lambda c: ascii(c))),
         lambda r, c: case when c >= 65 then r * 100 + c - 55 else r * 10 + c - 48 end % 97) = 1 end)
 select doc_id, count(kind) filter (kind = 'email') as n_email, count(kind) filter (kind = 'ip') as n_ip, count(kind) filter (kind = 'card') as n_card, count(kind) filter (kind = 'phone') as n_phone,
-    sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by k, start), '')) as base_sha256, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by k, start), '') as spans
+    sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by k, start) filter (k < 4), '')) as base_sha256, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by k, start), '') as spans,
+    coalesce(string_agg(kind || ':' || worth, ',' order by k, start), '') as scores
 from d left join ok using (doc_id) group by doc_id
 """
 

@@ -16,9 +16,11 @@ middle, so time is linear in the text and no repeat recurses.
     card   [0-9]([\x20-]?[0-9])+                         16 to 19 digits, Luhn
     phone  \+[0-9][\x20().0-9-]+[0-9]                    8 to 15 digits
     iban   two capitals, two digits, 11 to 31 more       mod 97 is 1
+    secret [A-Za-z0-9]{32,64}, with a digit, standing alone
 
-Spans of the first four kinds are always kept; those of ``iban``, which the
-method adds, only from ``min_score`` on.
+Spans of the first four kinds are always kept; those of the other kinds,
+which the method adds, only from ``min_score`` on, which they reach by a word
+that tells what they are standing near.
 """
 
 from __future__ import annotations
@@ -49,12 +51,15 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", True, 0.6, "ip|address|host|server"),
     Kind("card", r"[0-9](?:[ -]?[0-9])++", "", True, 0.7, "card|credit|visa|payment"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "+", True, 0.6, "phone|call|tel|mobile"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,6}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", "", False, 0.7, "iban|account|bank|transfer"),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,6}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9_])", "", False, 0.5, "iban|account|bank|transfer"),
+    Kind("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9]{32,64}(?![A-Za-z0-9_])", "", False, 0.5, "token|secret|key|password"),
 )
 
-#: Code points on either side of a span in which context words are looked for, and what they add.
+#: Code points on either side of a span, not beyond the next match of its kind, in which context words are looked for; what they add.
 NEAR, BONUS = 40, 0.25
 
+SPAN = "struct<kind:string,start:bigint,end:bigint,score:double>"
+
 
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the Luhn checksum."""
@@ -93,27 +98,36 @@ def confirmed(kind: str, match: Column) -> Column:
     if kind == "iban":
         bare = F.replace(match, F.lit(" "), F.lit(""))
         return F.when(F.length(bare).between(15, 34), mod97(bare)).otherwise(False)
+    if kind == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
     return F.lit(True)
 
 
-def matches(kind: Kind, text: Column) -> Column:
-    """array<struct<kind,start,end,text>> of the confirmed matches in ``text``, marks already out of it."""
+def score(kind: Kind, near: Column) -> Column:
+    return F.round(F.lit(kind.score) + F.when(near.rlike(rf"(?i)(?:^|[^A-Za-z])(?:{kind.context})"), F.lit(BONUS)).otherwise(F.lit(0.0)), 4)
+
+
+def matches(kind: Kind, text: Column, min_score: float) -> Column:
+    """Array of ``SPAN`` of the confirmed matches in ``text``, marks already out of it; of added kinds those of ``min_score``."""
     marked = F.regexp_replace(text, f"({kind.pattern})", f"{OPEN}$1{SHUT}")
     pieces = F.split(marked, OPEN)
-    one = lambda start, end, m: F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), m.alias("text"))
-    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,text:string>>")
-    begin = F.struct(F.length(F.get(pieces, F.lit(0))).cast("long").alias("at"), none.alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
+    begin = F.struct(F.length(F.get(pieces, F.lit(0))).cast("long").alias("at"), F.right(F.get(pieces, F.lit(0)), F.lit(NEAR)).alias("before"), none.alias("out"))
 
     def step(acc, piece):
-        m = F.substring_index(piece, SHUT, 1)
+        m, after = F.substring_index(piece, SHUT, 1), F.substring_index(piece, SHUT, -1)
         start = acc["at"]
         end = start + F.length(m)
-        more = F.when(confirmed(kind.name, m), F.concat(acc["out"], F.array(one(start, end, m)))).otherwise(acc["out"])
-        return F.struct((start + F.length(piece) - 1).alias("at"), more.alias("out"))
+        worth = score(kind, F.concat(acc["before"], F.lit(" "), F.substring(after, 1, NEAR)))
+        one = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), worth.alias("score"))
+        good = confirmed(kind.name, m) if kind.base else confirmed(kind.name, m) & (worth >= min_score)
+        more = F.when(good, F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
+        before = F.right(F.concat(acc["before"], m, after), F.lit(NEAR))
+        return F.struct((start + F.length(piece) - 1).alias("at"), before.alias("before"), more.alias("out"))
 
     found = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), begin, step, lambda acc: acc["out"])
-    if kind.name in ("card", "iban"):
-        may = text.rlike(r"[0-9](?:[ -]?[0-9]){15}" if kind.name == "card" else "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}")
+    if kind.name in MAY:
+        may = text.rlike(MAY[kind.name])
     else:
         may = F.contains(text, F.lit(kind.may_hold))
         if kind.name == "ip":
@@ -121,34 +135,23 @@ def matches(kind: Kind, text: Column) -> Column:
     return F.when(may, found).otherwise(none)
 
 
+#: What every text with a match of these kinds holds.
+MAY = {"card": r"[0-9](?:[ -]?[0-9]){15}", "iban": "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "secret": "[A-Za-z0-9]{32}"}
+
+
 def personal_data(df: DataFrame, text_col: str, *, min_score: float = 0.7, name: str = "pii") -> DataFrame:
     """``df`` with an array more: structs (kind, start, end, score), by kind as listed, then start.
 
-    Positions are code points, the end exclusive.  Null and empty texts have
-    an empty array; texts are taken whole.  Repeated rows are each looked
-    at; an empty table gives an empty result.  The array is called ``name``,
-    with underscores in front where ``df`` has such a column.
+    Positions are code points, the end exclusive.  A span scores what its
+    kind does, and more where a context word stands near; spans of added
+    kinds are kept from ``min_score`` on.  Null and empty texts have an empty
+    array; texts are taken whole.  Repeated rows are each looked at; an empty
+    table gives an empty result.  The array is called ``name``, with
+    underscores in front where ``df`` has such a column.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     safe = F.translate(text, OPEN + SHUT, OTHER + OTHER)
-    spans = F.concat(*[matches(k, safe) for k in KINDS])
-
-    def scored(s):
-        score, added = F.lit(0.0), F.lit(False)
-        near = F.concat_ws(
-            " ",
-            F.substring(safe, F.greatest(s["start"] - NEAR, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(NEAR)).cast("int")),
-            F.substring(safe, s["end"].cast("int") + 1, F.lit(NEAR)),
-        )
-        for k in KINDS:
-            own = F.lit(k.score) + F.when(near.rlike(rf"(?i)\b(?:{k.context})"), F.lit(BONUS)).otherwise(F.lit(0.0))
-            score = F.when(s["kind"] == k.name, own).otherwise(score)
-            added = F.when(s["kind"] == k.name, F.lit(not k.base)).otherwise(added)
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(score, 4).alias("score"), added.alias("added"))
-
-    kept = F.filter(F.transform(spans, scored), lambda s: ~s["added"] | (s["score"] >= min_score))
-    out = F.transform(kept, lambda s: F.struct(s["kind"], s["start"], s["end"], s["score"]))
-    return df.withColumn(free_name(df, name), out)
+    return df.withColumn(free_name(df, name), F.concat(*[matches(k, safe, min_score) for k in KINDS]))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -177,3 +180,8 @@ def joined(spans: Column, base_only: bool = False) -> Column:
 
 def counted(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def scores(spans: Column) -> Column:
+    """kind:score of the spans, in hundredths, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], F.rint(s["score"] * 100).cast("int").cast("string"))), ",")

@@ -79,6 +79,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[pii.counted(F.col("pii"), k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
         F.sha2(pii.joined(F.col("pii"), base_only=True), 256).alias("base_sha256"),
         pii.joined(F.col("pii")).alias("spans"),
+        pii.scores(F.col("pii")).alias("scores"),
     )
 
 

@@ -3,7 +3,9 @@
 A turn's content is a list of parts: text, image, audio or document.  A
 visitor flattens them, in order, into one string: text is escaped, any other
 part becomes a numbered placeholder, recorded with its reference and the
-number of tokens that it will expand to.  The template marks turns with
+number of tokens that it will expand to.  A part of a kind that has no visit
+of its own is recorded too, as ``other``, and expands to no token unless it
+says how many.  The template marks turns with
 control strings; the escape makes it impossible for a text to hold one, and
 is undone exactly by :func:`read_back`.
 """
@@ -20,12 +22,12 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 #: Tokens that a part expands to where the part itself doesn't say.
-DEFAULT_TOKENS = {"image": 256, "audio": 128, "document": 512}
+DEFAULT_TOKENS = {"image": 256, "audio": 128, "document": 512, "other": 0}
 
 _MARK = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>((?:[^\n\\]|\\.)*)\n(.*?)<\|im_end\|>\n", re.S)
-_SLOT = re.compile(r"<\|(image|audio|document):(\d+)\|>")
+_SLOT = re.compile(r"<\|(image|audio|document|other):(\d+)\|>")
 
 
 def escape(text: str) -> str:
@@ -75,7 +77,7 @@ class Flattener:
         self._attach("document", turn, part)
 
     def visit_unknown(self, turn: int, part: dict) -> None:
-        raise ValueError(f"a content part of unknown kind {part.get('kind')!r}")
+        self._attach("other", turn, part)
 
     def _attach(self, kind: str, turn: int, part: dict) -> None:
         slot = len(self.attachments)
@@ -125,7 +127,9 @@ def format_conversations(
     tokens) or else ``text_col``, one text part a turn.  Turns go by
     ``turn_col``, nulls first, ties by role, then content; repeated rows are
     repeated turns.  Null texts, parts and roles are empty.  Rows of a null
-    conversation id form one conversation.  An empty table gives an empty
+    conversation id form one conversation; ids are whole numbers.  Parts of
+    unknown kind become placeholders of the kind ``other``.  Texts are taken
+    whole, however long.  An empty table gives an empty
     result.  Other columns are neither read nor returned.  A conversation is
     one output value, so one task assembles it.
     """

@@ -23,12 +23,15 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary one is made.
+    unset on one machine (tests) a temporary one is made.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -61,8 +64,8 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-#: Links contracted in one task at most.
-LINKS_AT_ONCE = 1 << 20
+#: Links contracted in one task, about; a hub's rows that go to one task of a join.
+LINKS_AT_ONCE, HUB = 1 << 14, 1 << 12
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,72 +78,86 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         moved = np.flatnonzero(root != np.arange(len(nodes)))
         return nodes[moved], nodes[root[moved]]
 
+    fresh = 0
     for batch in batches:
         a = np.concatenate([a, batch.column(0).to_numpy()])
         b = np.concatenate([b, batch.column(1).to_numpy()])
-        if len(a) > LINKS_AT_ONCE:
+        fresh += batch.num_rows
+        if fresh > max(1 << 16, len(a) // 2):
             a, b = forest(a, b)
+            fresh = 0
     a, b = forest(a, b)
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row a key, may be missing), a hot key's rows dealt over tasks.
+
+    Keys of more than ``HUB`` rows of ``left`` are counted with map-side
+    combine; there is at most one per ``HUB`` rows, and each is dealt by a
+    hash of ``by`` into parts of about ``HUB``, for which its row of
+    ``right`` is repeated.
+    """
+    hubs = left.groupBy(key).count().where(F.col("count") > HUB)
+    hubs = durable(hubs.select(key, F.ceil(F.col("count") / HUB).cast("int").alias("_parts")))
+    n = hubs.count()
+    if not n:
+        return left.join(right, key, "left")
+    hubs = F.broadcast(hubs) if n <= FEW_LISTS else hubs
+    dealt = left.join(hubs, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    again = right.join(hubs, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(again, [key, "_part"], "left").drop("_part")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an undirected edge list of longs.
 
-    ``root`` is the smallest node reachable.  Links are first contracted in
-    tasks of about ``LINKS_AT_ONCE`` of them: a large group of near copies
-    shrinks from links in every list to one a node.  Where one such task
-    holds all links, that is the answer.  Otherwise follow rounds of
-    alternating large-star and small-star contraction, each two grouped
-    minima joined back to the links, so a node of any degree is a grouped
-    minimum with map-side combine and a join that adaptive execution may
-    split; nothing is gathered in a task or on the driver.  Rounds grow with
-    the logarithm of the longest path and are cut by reliable checkpoints.
-    Null ends and self-links are ignored; an empty list gives an empty
-    result.
+    ``root`` is the smallest node reachable.  Tasks of about
+    ``LINKS_AT_ONCE`` links contract them to one link a node, from it to the
+    smallest node connected there (its local root).  A node keeps the
+    smallest of its local roots; its other local roots, and itself if it is
+    one in another task, are linked to that one, which leaves a graph of
+    local roots alone, contracted in the same way until one task holds it.  A component's largest node is no local
+    root anywhere, so every level has fewer nodes, by a third on random
+    paths; a node has at most one link per task, so none is a hub, and the
+    way back, where a component's nodes share a root, is a join that deals
+    hot keys.  Nothing is gathered on the driver, and lineage is cut by
+    reliable checkpoints.  Null ends and self-links are ignored; an empty
+    list gives an empty result.
     """
-    given = durable(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("a"), F.col(b).alias("b")))
-    n = given.count()
-    parts = -(-n // LINKS_AT_ONCE) or 1
-    links = durable(given.coalesce(parts).mapInArrow(_contract, "u long, v long").distinct())
-    seen = _print(links)
-    while parts > 1 and seen[0]:
-        both = links.union(links.select("v", "u"))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = durable(small.union(low.select("u", "m")).distinct())
-        now = _print(links)
-        if now == seen:
-            break
-        seen = now
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v"), F.col("v")).distinct())
+    links = durable(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")))
+    found = _levels(links)
+    return found.select(F.col("u").alias("node"), F.col("v").alias("root")).union(found.select(F.col("v"), F.col("v")).distinct())
 
 
-def _print(links: DataFrame) -> tuple:
-    """Number of links and two order-free sums over them, to tell a fixed point."""
-    row = links.agg(
-        F.count(F.lit(1)),
-        F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")),
-        F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")),
-    ).first()
-    return tuple(row)
+def _levels(links: DataFrame) -> DataFrame:
+    """(u, v): each node that is not the smallest of its component, with the smallest; ``links`` are durable."""
+    parts = -(-links.count() // LINKS_AT_ONCE) or 1
+    local = durable(links.coalesce(parts).mapInArrow(_contract, "u long, v long"))
+    if parts == 1:
+        return local
+    low = durable(local.groupBy("u").agg(F.min("v").alias("m")))
+    between = local.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    elsewhere = low.join(local.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    roots = _levels(durable(between.union(elsewhere).distinct()))
+    up = spread_join(low, roots.select(F.col("u").alias("m"), F.col("v").alias("top")), "m", "u")
+    return durable(up.select("u", F.coalesce("top", "m").alias("v")).union(roots).distinct())
 
 
 #: Long lists up to this many are broadcast to the postings.
 FEW_LISTS = 50_000
 
 
-def dealt_lists(posted: DataFrame, key: str, node: str, block: int) -> DataFrame:
+def dealt_lists(posted: DataFrame, key: str, node: str, block: int, counted: DataFrame | None = None) -> DataFrame:
     """Postings with ``own``, ``lo``, ``hi``: a list's chunk of each row, and the two chunks compared where it goes.
 
     Lists of more than ``block`` rows are dealt into chunks by a hash of the
     node, and every row goes to each pair of chunks that holds its own.  Only
     the sizes of such lists are joined back, broadcast if they are few;
-    postings of all others are not moved here.
+    postings of all others are not moved here.  ``counted`` stands in for the
+    postings where a cheaper table has the same keys as often.
     """
-    long = posted.groupBy(key).count().where(F.col("count") > block)
+    long = (posted if counted is None else counted).groupBy(key).count().where(F.col("count") > block)
     long = durable(long.select(key, F.ceil(F.col("count") / block).cast("int").alias("chunks")))
     n = long.count()
     zero = F.lit(0)

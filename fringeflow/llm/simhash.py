@@ -11,10 +11,10 @@ each pair are tallied, pairs below the minimum go, the others are verified by
 their differing bits.  Only links to one fingerprint of each group connected
 in the list leave it.
 
-With more differing bits than bytes to spare there is no such guarantee; then
-blocks have four positions, and a pair is found with the probability that two
-bytes of a block agree: with 256 bits 0.94 at a Jaccard similarity of 0.8,
-0.985 at 0.85, more than 0.999 at 0.9, and links through others add to it.
+At least two bytes must be to spare, or nothing is guaranteed and the call is
+refused.  That rules out fingerprints as the judge of a Jaccard similarity of
+0.8: 15 of 100 bits are expected to differ there, so no byte need agree;
+``shingles`` keeps inverted lists that guarantee such pairs.
 
 Scale: equal fingerprints are collapsed first with map-side combine, lists
 longer than ``block`` are dealt into chunks whose pairs are groups of their
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import connected_components, dealt_lists, durable, free_name, local_components, runs_of_groups
+from .common import connected_components, dealt_lists, durable, free_name, local_components, runs_of_groups, spread_join
 from .pivots import mix
 
 #: Texts are hashed in groups of about so many shingles.
@@ -102,26 +102,25 @@ def with_fingerprint(df: DataFrame, text_col: str, width: int, words: int = 1) -
 def position_pairs(n_bytes: int, max_bits: int) -> list[tuple[int, int]]:
     """Pairs of byte positions within blocks.
 
-    ``n_bytes - max_bits`` shared positions, if two or more, hold one of the
-    pairs, as there is one block less than that; otherwise blocks have four
-    positions.
+    ``n_bytes - max_bits`` shared positions hold one of the pairs, as there
+    is one block less than that.
     """
     shared = n_bytes - max_bits
-    blocks = shared - 1 if shared >= 2 else -(-n_bytes // 4)
+    if shared < 2:
+        raise ValueError(f"{max_bits} differing bits of {8 * n_bytes} leave fewer than two bytes that must agree")
+    blocks = shared - 1
     return [p for k in range(blocks) for p in combinations(range(n_bytes)[k::blocks], 2)]
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, *, width: int = 5, bits: int = 256, max_bits: int = 48, block: int = 4096
+    df: DataFrame, id_col: str, text_col: str, *, width: int = 5, bits: int = 64, max_bits: int = 4, block: int = 4096
 ) -> DataFrame:
     """One row per input row: (id, fingerprint, component_id).
 
     ``fingerprint``: lowercase hex digits, ``bits`` / 4 of them, over
     shingles of ``width`` words; ``component_id``: smallest id of the rows
     whose fingerprints are reachable over links of at most ``max_bits``
-    differing bits.  The defaults stand for a Jaccard similarity of 0.8 of
-    five-word shingles: 39 of 256 bits are expected to differ there, 48 leave
-    room for the spread of 6.  Null and empty texts have fingerprint zero,
+    differing bits.  Null and empty texts have fingerprint zero,
     linked like any other.  Repeated rows share a component; null ids take no
     part in the minimum.  An empty table gives an empty result.  Other
     columns are neither read nor returned.
@@ -133,24 +132,8 @@ def near_duplicates(
     comps = connected_components(linked_fingerprints(nodes.select("node", "fp"), bits, max_bits, block))
     labelled = nodes.join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    per_fp = labelled.join(smallest, "root").select("fp", "component_id")
-    return rows.join(per_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
-
-
-def without_near_duplicates(df: DataFrame, id_col: str, text_col: str, *, width: int = 5, bits: int = 256, **options) -> DataFrame:
-    """One row of ``df`` for each near-duplicate group: that of the smallest id; same columns.
-
-    Null ids come after all others.  Of repeated rows one stays.
-    """
-    found = near_duplicates(df, id_col, text_col, width=width, bits=bits, **options)
-    found = found.select(F.col(id_col).alias("id"), F.unhex("fingerprint").alias("fp"), "component_id")
-    groups = F.coalesce(F.col("component_id").cast("string"), F.hex("fp"))  # a group of null ids has no smallest
-    first = found.groupBy(groups.alias("group")).agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "fp")).alias("first"))
-    keep_id, keep_fp = free_name(df, "kept_id"), free_name(df, "kept_fp")
-    keep = first.select(F.col("first.id").alias(keep_id), F.col("first.fp").alias(keep_fp))
-    marked = with_fingerprint(df, text_col, width, bits // 64)
-    key = F.col(id_col).cast("long").eqNullSafe(F.col(keep_id)) & (F.col(marked.columns[-1]) == F.col(keep_fp))
-    return marked.join(keep, key, "inner").dropDuplicates([keep_id, keep_fp]).select(*df.columns)
+    per_fp = durable(spread_join(labelled, smallest, "root", "node").select("fp", "component_id"))
+    return spread_join(rows, per_fp, "fp", "id").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def linked_fingerprints(nodes: DataFrame, bits: int, max_bits: int, block: int) -> DataFrame:
@@ -178,7 +161,7 @@ def _raw(column, n_bytes: int) -> np.ndarray:
 
 
 def _tally(n_bytes: int, max_bits: int, keys: list[str]):
-    minimum = max(2, n_bytes - max_bits)
+    minimum = n_bytes - max_bits
 
     def linked(x, y):
         """Which pairs share enough bytes, and of those which differ in few enough bits."""

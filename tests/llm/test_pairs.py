@@ -28,9 +28,11 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("at_once", [common.LINKS_AT_ONCE, 50])
-def test_connected_components(spark, monkeypatch, at_once):
+@pytest.mark.parametrize("at_once, hub", [(common.LINKS_AT_ONCE, common.HUB), (50, 20)])
+def test_connected_components(spark, monkeypatch, at_once, hub):
+    """One level, and several with hot keys dealt."""
     monkeypatch.setattr(common, "LINKS_AT_ONCE", at_once)
+    monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, k) for k in range(5001, 5100)]
     got = {r.node: r.root for r in common.connected_components(spark.createDataFrame(links + [(None, 3), (4, 4)], "a long, b long")).collect()}
@@ -115,31 +117,9 @@ def test_simhash_edges(spark, block):
     df = spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, fp string, node int")
     got = sorted(tuple(r) for r in simhash.near_duplicates(df, "doc_id", "text", width=4, bits=64, max_bits=4, block=block).collect())
     assert got == brute_simhash(rows)
-    kept = simhash.without_near_duplicates(df, "doc_id", "text", width=4, bits=64, max_bits=4, block=block)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({r[2] for r in got})
     assert simhash.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
-    nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "q r s t u v w")], "doc_id long, text string")
-    assert simhash.without_near_duplicates(nulls, "doc_id", "text").count() == 2
-
-
-def test_wide_fingerprints_find_near_copies_and_leave_others(spark):
-    rng = random.Random(7)
-    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7)))
-    rows, wanted = [], 0
-    for k in range(200):
-        words = [word() for _ in range(rng.randrange(150, 400))]
-        rows.append((10 * k, " ".join(words)))
-        for c in (1, 2):  # a run of changed words: similarity 0.8 and more
-            other = list(words)
-            at, n = rng.randrange(len(other) // 2), len(other) // (12 if c == 1 else 30)
-            other[at : at + n] = [word() for _ in range(n)]
-            rows.append((10 * k + c, " ".join(other)))
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
-    for r in got:
-        assert r.component_id // 10 == r.doc_id // 10
-        wanted += r.component_id == r.doc_id // 10 * 10
-    assert wanted >= 0.98 * len(rows)
+    with pytest.raises(ValueError):  # no two bytes need agree
+        simhash.near_duplicates(df, "doc_id", "text", bits=64, max_bits=7)
 
 
 def brute_similar(rows, threshold=0.8):
@@ -224,3 +204,31 @@ def test_neighbours_edges(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in collisions.nearest_neighbours(few, few.where("vec_id % 100 = 0"), "vec_id", "e").collect()) == [
         (0, 1, 100, 1.0), (0, 2, 5, 3.0), (100, 1, 0, 1.0), (100, 2, 5, 10**0.5)]
     assert collisions.nearest_neighbours(df.limit(0), df.limit(0), "vec_id", "e").count() == 0
+
+
+def test_vectors_of_one_cone(spark):
+    """Vectors whose cosines are all high have lists of their own, and links are found."""
+    rng = np.random.default_rng(5)
+    x = 3.6 + 2.0 * rng.standard_normal((3000, 32))
+    x[2000:2150] = x[:150] + 0.3 * rng.standard_normal((150, 32))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.97
+    assert (unit @ unit.T).mean() > 0.7
+    want = near.sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in pivots.near_duplicate_vectors(df, "vec_id", "embedding", "label", threshold=0.97).collect()}
+    assert all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.99 * want.sum() > 0
+    chosen = pivots.choose_pivots(df, "embedding", 128, 2048, 0.87)[32]
+    assert len(chosen.points) == 128
+    sizes = collections.Counter(tuple(sorted(r)) for r in chosen.nearest(pivots.unit(x), 2))
+    assert max(sizes.values()) < 300
+
+
+def test_vectors_of_a_length_outside_the_sample(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.standard_normal(8).tolist(), 1) for k in range(300)]
+    rows += [(1000 + k, rng.standard_normal(5).tolist(), 1) for k in range(40)]
+    rows += [(2000 + k, [x * 2 for x in rows[300 + k][1]], 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in pivots.near_duplicate_vectors(df, "vec_id", "embedding", "label", threshold=0.93, sample=1).collect()) == brute_vectors(rows)

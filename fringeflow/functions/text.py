@@ -1,13 +1,11 @@
-"""Text: identifiers, polarisations, masking of secrets, formatting."""
+"""Text: identifiers, polarisations, formatting."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that mark a secret, the mask, and the co-polarised channels.
-SECRET_WORDS = ("password", "passwd", "token", "secret", "api_key", "apikey")
-MASK = "***"
+# The co-polarised channels.
 CO_POLARISATIONS = ("VV", "HH")
 
 
@@ -47,18 +45,6 @@ def binary_size(n: Column) -> Column:
     return out
 
 
-def masked(text: Column) -> Column:
-    """Values after secret-like keys, bearer tokens and URL credentials replaced by a mask.
-
-    Patterns run only on texts that hold a trigger.
-    """
-    words = "|".join(SECRET_WORDS)
-    out = F.regexp_replace(text, rf"(?i)([\w.-]*(?:{words})[\w.-]*[\"']?\s*[=:]\s*[\"']?)[^\s\"',;)}}\]]+", f"$1{MASK}")
-    out = F.regexp_replace(out, r"(?i)(bearer\s+)[A-Za-z0-9._\-]{16,}", f"$1{MASK}")
-    out = F.regexp_replace(out, r"(https?://)[^/\s:@]+:[^/\s@]+@", f"$1{MASK}:{MASK}@")
-    return F.when(text.rlike(rf"(?i){words}|bearer|https?://"), out).otherwise(text)
-
-
 def key_values(text: Column, pair: str = "\n", between: str = "=") -> Column:
     """Map of trimmed ``key = value`` lines."""
     return F.str_to_map(F.regexp_replace(text, rf"[ \t]*{between}[ \t]*", between), F.lit(pair), F.lit(between))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import dates as dt
-from ..functions import hashing, text
+from ..functions import hashing, masking, text
 from ..functions import phase as ph
 from ..operators.frames import last_wins_maps
 from .registry import micros, plan, table
@@ -126,14 +126,34 @@ def identifiers(spark, sf_dir):
     )
 
 
-_WORDS = "|".join(text.SECRET_WORDS)
+def _masked_sql(column: str) -> str:
+    out = column
+    for pattern, by in masking.rules(r"(?:^|[^\w.])"):
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by}', 'g')"
+    return f"case when regexp_matches({column}, '{masking.trigger()}') then {out} else {column} end"
 
 
-@plan(rf"""select doc_id, sha256(case when regexp_matches(text, '(?i){_WORDS}|bearer|https?://') then regexp_replace(regexp_replace(regexp_replace(text,
-    '(?i)([\w.-]*(?:{_WORDS})[\w.-]*["'']?\s*[=:]\s*["'']?)[^\s"'',;)}}\]]+', '\1***', 'g'), '(?i)(bearer\s+)[A-Za-z0-9._\-]{{16,}}', '\1***', 'g'),
-    '(https?://)[^/\s:@]+:[^/\s@]+@', '\1***:***@', 'g') else text end) as masked_sha256 from documents""")
+@plan(f"select doc_id, sha256({_masked_sql('text')}) as masked_sha256 from documents")
 def secret_masking(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.masked(F.col("text")), 256).alias("masked_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(masking.masked(F.col("text")), 256).alias("masked_sha256"))
+
+
+#: One form of every class that is masked, and some that are left; {} is filled by the row.
+SECRET_FORMS = (
+    "export EARTH_TOKEN={}abc && run", "AWS_ACCESS_KEY_ID=AKIA{}", "Authorization: Basic dXNlcjpw{}", "Authorization: Bearer short{}", "passphrase='{} x'", "private_key={};rest", "credential={}", "x.api-key : \"{}\"",
+    "{'token': '{}'}", "env['A_TOKEN'] = '{}'", "run --api-key {} --depth 3", "run -password={}", "machine h login u password p{}", "curl -H bearer abcdefghijklmnop{}",
+    "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT{}", "https://user:pw{}@host/x", "https://host/{}", "tokens are counted {}", "the key of {}", "a.b token={},passwd={}", "secretary: {}", "nothing {}",
+)
+
+
+@plan(f"""with f as (select unnest([{', '.join("'" + f.replace("'", "''") + "'" for f in SECRET_FORMS)}]) as form, generate_subscripts([{', '.join("''" for _ in SECRET_FORMS)}], 1) as n),
+    t as (select c_custkey, n, replace(form, '{{}}', cast(c_custkey as varchar)) as text from customer, f)
+  select c_custkey, cast(n as int) as n, {_masked_sql('text')} as masked from t""")
+def secret_forms(spark, sf_dir):
+    """Every class of secret, with a number of its own in every row."""
+    forms = F.array(*[F.lit(f) for f in SECRET_FORMS])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(forms).alias("n", "form"))
+    return rows.select("c_custkey", (F.col("n") + 1).alias("n"), masking.masked(F.replace("form", F.lit("{}"), F.col("c_custkey").cast("string"))).alias("masked"))
 
 
 @plan(r"""select c_custkey, case when b >= 1073741824 then printf('%.1f GiB', b / 1073741824.0) when b >= 1048576 then printf('%.1f MiB', b / 1048576.0)

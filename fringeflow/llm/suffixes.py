@@ -43,6 +43,9 @@ WORD = 1 << 64
 #: Bytes of text worked on at once, and bytes of suffixes in a sorted run, about.
 AT_ONCE, RUN = 1 << 18, 1 << 24
 
+#: Bytes of suffixes that one merge task receives, about, before front coding.
+PART = 1 << 27
+
 #: Groups of equal prefixes up to this size are compared in pairs.
 FEW = 6
 
@@ -381,7 +384,7 @@ def _merge_runs(length: int, k: int):
                 low = min(low, lcp)
                 i = at.setdefault((suffix, before), len(suffixes))
                 if i < len(suffixes):
-                    owners[i] = owners[i] + own
+                    owners[i].extend(own)
                     continue
                 suffixes.append(suffix)
                 befores.append(before)
@@ -456,7 +459,6 @@ def repeated_passages(df: DataFrame, id_col: str, text_col: str, *, length: int
     neither read nor returned.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"))
     texts = rows.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("k1"), F.sha2("text", 256).alias("hex"), "text")
@@ -465,7 +467,9 @@ def repeated_passages(df: DataFrame, id_col: str, text_col: str, *, length: int
     several = durable(found.groupBy("gram").count().where("count > 1").select("gram"))
     again = found.join(several, "gram", "left_semi")
     per_text = again.groupBy("k1").agg(F.collect_set(F.struct("gram", "packed")).alias("a"))
-    per_text = per_text.select("k1", F.col("a.gram").alias("grams"), F.col("a.packed").alias("packed"))
+    per_text = durable(per_text.select("k1", F.col("a.gram").alias("grams"), F.col("a.packed").alias("packed")))
+    n_suffixes = per_text.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_suffixes * 2 * length // PART))
     moved = texts.select("k1", F.unhex("hex").alias("key"), "text").mapInArrow(_pack_texts, "k1 long, key binary, packed_text binary")
     cut = moved.join(per_text, "k1").select("key", "packed_text", "grams", "packed")
     runs = cut.mapInArrow(_cut(length, anchor, parts), "part int, run binary, texts array<binary>")

@@ -98,15 +98,14 @@ def box_coverage(boxes: DataFrame, keys: Sequence[str], west: float, south: floa
     return boxes.select(*keys).distinct().join(area, list(keys), "left").select(*keys, F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
-def reachable(edges: DataFrame, start: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node): everything downstream of the start nodes, breadth first; ``edges``: a, b."""
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node): everything downstream of the start nodes, breadth first until the front is empty; ``edges``: a, b."""
     from .frames import cut
 
+    edges = cut(edges.select("a", "b").distinct())
     found = front = cut(start.select("node").distinct())
-    for _ in range(rounds):
+    while front.limit(1).count():
         step = edges.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
         front = cut(step.join(found, "node", "left_anti"))
-        if not front.limit(1).count():
-            break
-        found = found.unionByName(front)
+        found = cut(found.unionByName(front))
     return found

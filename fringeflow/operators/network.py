@@ -79,27 +79,56 @@ def recommend_reference(dates: DataFrame, stack: Sequence[str]) -> DataFrame:
     return d.groupBy(*stack).agg(best.alias("b")).select(*stack, F.col("b.date").alias("reference"), F.col("b.score").alias("score"))
 
 
+def _per_stack(both: DataFrame, stack: Sequence[str], work, schema: str) -> DataFrame:
+    """``work`` on each stack's rows, in one pass over them grouped by stack.
+
+    A stack's dates are distinct days and its pairs lie within a span, so a
+    group is bounded by the calendar, whatever the size of the archive.
+    """
+    kinds = dict(both.dtypes)
+
+    def run(pdf):
+        out = work(pdf)
+        for c in stack:
+            out[c] = pdf[c].iloc[0]
+        return out[[*stack, *[f.split()[0] for f in schema.split(", ")]]]
+
+    return both.groupBy(*stack).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in stack), schema]))
+
+
+def _roots(nodes: list, links: list) -> dict:
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
 def components(nodes: DataFrame, edges: DataFrame, stack: Sequence[str]) -> DataFrame:
     """(stack..., node, root): the smallest node of each component; nodes without edges are their own.
 
-    ``nodes``: stack columns and ``node``; ``edges``: stack columns, ``a``, ``b``.
-    Smallest labels travel along edges and jump along labels found, until
-    none changes; every round is cut by a checkpoint.
+    ``nodes``: stack columns and ``node``; ``edges``: stack columns, ``a``,
+    ``b``, which count as nodes too.  Union-find, a stack at a time.
     """
-    from .frames import cut
-
-    both = cut(edges.select(*stack, "a", "b").union(edges.select(*stack, "b", "a")).distinct())
-    labels = cut(nodes.select(*stack, "node", F.col("node").alias("root")).distinct())
-    while True:
-        near = both.join(labels.select(*stack, F.col("node").alias("b"), "root"), [*stack, "b"])
-        low = near.groupBy(*stack, F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        new = labels.join(low, [*stack, "node"], "left").select(*stack, "node", F.least("root", F.coalesce("near", "root")).alias("root"), F.col("root").alias("was"))
-        jump = new.select(*stack, F.col("node").alias("root"), F.col("root").alias("far"))
-        new = cut(new.join(jump, [*stack, "root"]).select(*stack, "node", F.least("root", "far").alias("root"), "was"))
-        changed = new.where("root <> was").limit(1).count()
-        labels = new.drop("was")
-        if not changed:
-            return labels
+    import pandas as pd
+
+    kind = dict(nodes.dtypes)["node"]
+    none = F.lit(None).cast(kind)
+    both = edges.select(*stack, "a", "b").unionByName(nodes.select(*stack, F.col("node").alias("a"), none.alias("b")))
+
+    def work(pdf):
+        linked = pdf[pdf["b"].notna()]
+        root = _roots(sorted({*pdf["a"], *linked["b"]}), list(zip(linked["a"], linked["b"], strict=True)))
+        return pd.DataFrame({"node": list(root), "root": list(root.values())})
+
+    return _per_stack(both, stack, work, f"node {kind}, root {kind}")
 
 
 def network_summary(dates: DataFrame, pairs: DataFrame, stack: Sequence[str]) -> DataFrame:
@@ -117,27 +146,52 @@ def network_summary(dates: DataFrame, pairs: DataFrame, stack: Sequence[str]) ->
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_pairs", "n_with_baseline")})
 
 
-def integrate_baselines(pairs: DataFrame, stack: Sequence[str], rounds: int = 64) -> DataFrame:
-    """(stack..., date, bperp, hops): baselines from the earliest date that has an edge, along shortest paths.
+def integrate_baselines(pairs: DataFrame, stack: Sequence[str], origins: DataFrame | None = None) -> DataFrame:
+    """(stack..., date, bperp, hops): baselines relative to a date, summed along paths found breadth first.
 
-    Pairs of unknown baseline are left out; of several shortest paths the
-    smallest predecessor's holds.  Dates not reached are omitted.
+    The date is that of ``origins`` (stack columns and ``origin``) where a
+    known baseline touches it, else the earliest with one.  Neighbours are
+    visited in order of the pairs' dates.  Pairs of unknown baseline are left
+    out, dates not reached are omitted; chains may be of any length.
+    """
+    import pandas as pd
+
+    known = pairs.where("bperp is not null").select(*stack, "ref", "sec", "bperp")
+    given = known.withColumn("origin", F.lit(None).cast("date")) if origins is None else known.join(origins.select(*stack, "origin"), list(stack), "left")
+
+    def work(pdf):
+        near: dict = {}
+        for ref, sec, b in sorted(zip(pdf["ref"], pdf["sec"], pdf["bperp"], strict=True)):
+            near.setdefault(ref, []).append((sec, b))
+            near.setdefault(sec, []).append((ref, -b))
+        wished = pdf["origin"].iloc[0]
+        start = wished if wished in near else min(near)
+        reached, queue = {start: (0.0, 0)}, [start]
+        for d in queue:
+            for other, b in near[d]:
+                if other not in reached:
+                    reached[other] = (reached[d][0] + b, reached[d][1] + 1)
+                    queue.append(other)
+        return pd.DataFrame([(d, b, h) for d, (b, h) in reached.items()], columns=["date", "bperp", "hops"])
+
+    return _per_stack(given, stack, work, "date date, bperp double, hops long")
+
+
+def with_baselines(dates: DataFrame, pairs: DataFrame, stack: Sequence[str], max_perp_m: float, method: str = "sbas") -> tuple[DataFrame, DataFrame]:
+    """(pairs kept, summary per stack) once the pairs' baselines are known.
+
+    For ``sbas`` pairs beyond the threshold go (those of unknown baseline
+    stay).  Baselines per date are integrated over all given pairs, the
+    reference is recommended anew from them, and the network is summed up
+    again with what is left; ``n_pairs_dropped`` tells how many went.
     """
-    from .frames import cut
-
-    known = pairs.where("bperp is not null")
-    both = cut(known.select(*stack, F.col("ref").alias("a"), F.col("sec").alias("b"), "bperp").union(known.select(*stack, "sec", "ref", -F.col("bperp"))))
-    reached = cut(both.groupBy(*stack).agg(F.min("a").alias("date")).withColumns({"bperp": F.lit(0.0), "hops": F.lit(0).cast("long")}))
-    front = reached
-    for hop in range(1, rounds + 1):
-        step = both.join(front.select(*stack, F.col("date").alias("a"), F.col("bperp").alias("base")), [*stack, "a"])
-        step = step.join(reached.select(*stack, F.col("date").alias("b")), [*stack, "b"], "left_anti")
-        step = step.groupBy(*stack, F.col("b").alias("date")).agg(F.min_by(F.col("base") + F.col("bperp"), F.struct("a", "bperp")).alias("bperp"))
-        front = cut(step.withColumn("hops", F.lit(hop).cast("long")))
-        if not front.limit(1).count():
-            break
-        reached = cut(reached.unionByName(front))
-    return reached
+    over = F.coalesce(F.abs("bperp") > max_perp_m, F.lit(False)) if method == "sbas" else F.lit(False)
+    kept = pairs.where(~over)
+    dropped = pairs.groupBy(*stack).agg(F.count_if(over).alias("n_pairs_dropped"))
+    per_date = dates.select(*stack, "date").join(integrate_baselines(pairs, stack).select(*stack, "date", "bperp"), [*stack, "date"], "left")
+    reference = recommend_reference(per_date, stack).select(*stack, "reference")
+    summary = network_summary(dates, kept, stack).join(reference, list(stack), "left").join(dropped, list(stack), "left")
+    return kept, summary.withColumn("n_pairs_dropped", F.coalesce("n_pairs_dropped", F.lit(0).cast("long")))
 
 
 def group_candidates(records: DataFrame, group: Sequence[str], min_coverage: float) -> DataFrame:

@@ -2,9 +2,12 @@
 
 A finding is (stack, scope, rule, severity, detail).  ``records``: stack,
 track, direction, mode, subswath, pol, date, burst, ipf, rg_spacing,
-az_spacing, missing_lines; ``stacks``: stack, track, direction, pol, coverage,
-n_bursts, lat; ``pairs``: stack, ref, sec, dt_days, bperp.  Every rule is one
-grouped aggregate or filter; the registry is a dictionary of functions.
+az_spacing, incidence, missing_lines; ``stacks``: stack, track, direction,
+pol, coverage, n_bursts, lat; ``pairs``: stack, ref, sec, dt_days, bperp;
+``dates`` and ``bursts``: the candidate's own (stack, date) and (stack,
+burst).  Everything that rules ask of a stack is brought into one row by one
+grouped aggregate over records and one over pairs; a rule is then an
+expression over that row, and the registry a dictionary of them.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import crosses_season, pair_key
+from ..functions.phase import ground_range
 from ..functions.text import co_polarised, major_version
+from .frames import cut
 
 SEVERITIES = ("FAIL", "WARN", "INFO")
 
@@ -26,10 +31,14 @@ class Inputs:
     stacks: DataFrame
     records: DataFrame
     pairs: DataFrame
+    dates: DataFrame | None = None  # those with a record, if not given
+    bursts: DataFrame | None = None
     max_perp_m: float = 150.0
     max_days: int = 48
     min_coverage: float = 0.9
     spacing_tolerance: float = 0.05
+    target_m: float = 30.0
+    max_aspect: float = 2.0
 
 
 def finding(df: DataFrame, rule: str, severity: str | Column, detail: Column, scope: Column | None = None) -> DataFrame:
@@ -37,84 +46,109 @@ def finding(df: DataFrame, rule: str, severity: str | Column, detail: Column, sc
     return df.select("stack", (F.col("stack").cast("string") if scope is None else scope).alias("scope"), F.lit(rule).alias("rule"), level.alias("severity"), detail.cast("string").alias("detail"))
 
 
-def _listed(c: str | Column) -> Column:
-    return F.array_join(F.array_sort(F.collect_set(c)), ", ")
+def best_looks(rg: Column, az: Column, target: float, max_aspect: float) -> Column:
+    """Struct (miss, total, aspect, n_rg, n_az) of the looks whose pixel is nearest the target and nearly square, then the fewest; null where a spacing is."""
+    most = lambda c: F.greatest(F.lit(1), F.ceil(2 * target * max_aspect / c) + 1).cast("int")
 
+    def candidate(n, m):
+        p, q = rg * n, az * m
+        aspect = F.greatest(p, q) / F.least(p, q)
+        return F.when(aspect <= max_aspect, F.struct(F.abs(F.sqrt(p * q) - target).alias("miss"), (n * m).alias("total"), aspect.alias("aspect"), n.alias("n_rg"), m.alias("n_az")))
 
-def _several(x: Inputs, rule: str, column: str) -> DataFrame:
-    """FAIL where records and candidate show more than one value."""
-    values = x.records.select("stack", F.col(column).cast("string").alias("v")).union(x.stacks.select("stack", F.col(column).cast("string"))).distinct()
-    g = values.groupBy("stack").agg(F.count("v").alias("n"), _listed("v").alias("v")).where("n > 1")
-    return finding(g, rule, "FAIL", F.col("v"))
+    grid = F.flatten(F.transform(F.sequence(F.lit(1), most(rg)), lambda n: F.transform(F.sequence(F.lit(1), most(az)), lambda m: candidate(n, m))))
+    return F.when(rg.isNotNull() & az.isNotNull(), F.array_min(F.filter(grid, lambda x: x.isNotNull())))
 
 
-def one_track(x: Inputs) -> DataFrame:
-    return _several(x, "SEL-01", "track")
+def _set(c: Column) -> Column:
+    return F.array_sort(F.collect_set(c))
 
 
-def one_direction(x: Inputs) -> DataFrame:
-    return _several(x, "SEL-02", "direction")
+def about_stacks(x: Inputs) -> DataFrame:
+    """One row a stack: what its records, dates and pairs have to say to the rules.
 
-
-def one_layout(x: Inputs) -> DataFrame:
-    per_date = x.records.groupBy("stack", "date").agg(_listed("subswath").alias("layout"))
+    Sets hold tracks, directions, modes, layouts, channels and versions, a
+    few values each.
+    """
+    r = x.records
+    both = (F.col("rg_spacing") > 0) & (F.col("az_spacing") > 0)
+    told = lambda c: F.when(both, F.col(c))
+    spread = lambda c: (F.max(told(c)) - F.min(told(c))) / F.median(told(c))
+    wanted = r.select("stack", "burst").distinct() if x.bursts is None else x.bursts.select("stack", "burst").distinct()
+    own = r.join(wanted.withColumn("wanted", F.lit(True)), ["stack", "burst"], "left")
+    per_date = own.groupBy("stack", "date").agg(
+        F.array_join(_set("subswath"), ", ").alias("layout"), F.count_distinct(F.when(F.col("wanted"), F.col("burst"))).alias("n"), F.max(F.coalesce("missing_lines", F.lit(0))).alias("lines")
+    )
+    expected = wanted.groupBy("stack").agg(F.count(F.lit(1)).alias("expected"))
     layouts = per_date.groupBy("stack").agg(F.count_distinct("layout").alias("n_layouts"))
-    modes = x.records.groupBy("stack").agg(F.count_distinct("mode").alias("n_modes"), _listed("mode").alias("modes"))
-    return finding(modes.join(layouts, "stack").where("n_modes > 1 or n_layouts > 1"), "SEL-03", "FAIL", F.concat_ws("/", "modes", "n_layouts"))
-
-
-def covered(x: Inputs) -> DataFrame:
-    none = (F.col("n_bursts") == 0) | (F.col("coverage") <= 0)
-    some = x.stacks.where(none | (F.col("coverage") < x.min_coverage))
-    return finding(some, "SEL-04", F.when(none, "FAIL").otherwise("WARN"), F.round("coverage", 6))
+    dates = per_date.select("stack", "date") if x.dates is None else x.dates.select("stack", "date").distinct()
+    seen = dates.join(per_date.select("stack", "date", "n", "lines"), ["stack", "date"], "left").join(expected, "stack", "left").join(layouts, "stack")
+    short = (F.coalesce("n", F.lit(0)) != F.coalesce("expected", F.lit(0))) | (F.coalesce("lines", F.lit(0)) > 0)
+    bad = seen.groupBy("stack").agg(F.count_if(short).alias("bad_dates"))
+    known = F.when(F.length("ipf") > 0, F.col("ipf"))
+    one = r.groupBy("stack").agg(
+        _set(F.col("track").cast("string")).alias("tracks"), _set("direction").alias("directions"), _set("mode").alias("modes"), _set("pol").alias("pols"),
+        _set(known).alias("versions"), F.count_distinct(major_version(known)).alias("n_versions"), F.count(told("rg_spacing")).alias("n_spacings"),
+        F.greatest(spread("rg_spacing"), spread("az_spacing")).alias("deviation"), F.median(told("rg_spacing")).alias("rg"), F.median(told("az_spacing")).alias("az"), F.median("incidence").alias("incidence"),
+    )
+    north = F.col("lat").isNull() | (F.col("lat") >= 0)
+    p = x.pairs.join(x.stacks.select("stack", "lat"), "stack").groupBy("stack").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count("bperp").alias("n_known"), F.count_if(crosses_season(F.col("ref"), F.col("sec"), north)).alias("n_crossing")
+    )
+    out = x.stacks.join(one, "stack", "left").join(layouts, "stack", "left").join(bad, "stack", "left").join(p, "stack", "left")
+    plus = lambda s, c: F.array_sort(F.array_distinct(F.concat(F.coalesce(F.col(s), F.array().cast("array<string>")), F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col(c).cast("string"))))))
+    return out.withColumns({"tracks": plus("tracks", "track"), "directions": plus("directions", "direction"), "pols": plus("pols", "pol")})
 
 
-def co_polarised_only(x: Inputs) -> DataFrame:
-    pols = x.records.select("stack", "pol").union(x.stacks.select("stack", "pol"))
-    g = pols.groupBy("stack").agg(F.bool_and(co_polarised(F.col("pol"))).alias("ok"), _listed("pol").alias("v")).where("not ok")
-    return finding(g, "SEL-05", "FAIL", F.col("v"))
+def _listed(c: str) -> Column:
+    return F.array_join(c, ", ")
 
 
-def perpendicular(x: Inputs) -> DataFrame:
-    key = pair_key(F.col("ref"), F.col("sec"))
-    far = finding(x.pairs.where(F.abs("bperp") > x.max_perp_m), "SEL-06", "WARN", F.round(F.abs("bperp"), 3), F.concat_ws(":", F.col("stack").cast("string"), key))
-    none = x.pairs.groupBy("stack").agg(F.count("bperp").alias("known"), F.count(F.lit(1)).alias("n")).where("known = 0")
-    return far.unionByName(finding(none, "SEL-06", "INFO", F.col("n")))
+def _if(due: Column, severity: str | Column, detail: Column) -> Column:
+    level = F.lit(severity) if isinstance(severity, str) else severity
+    return F.when(due, F.struct(level.alias("severity"), detail.cast("string").alias("detail")))
 
 
-def temporal(x: Inputs) -> DataFrame:
-    key = pair_key(F.col("ref"), F.col("sec"))
-    long = finding(x.pairs.where(F.col("dt_days") > x.max_days), "SEL-07", "WARN", F.col("dt_days"), F.concat_ws(":", F.col("stack").cast("string"), key))
-    p = x.pairs.join(x.stacks.select("stack", "lat"), "stack")
-    north = F.col("lat").isNull() | (F.col("lat") >= 0)
-    cross = p.where(crosses_season(F.col("ref"), F.col("sec"), north)).groupBy("stack").agg(F.count(F.lit(1)).alias("n"))
-    return long.unionByName(finding(cross, "SEL-07", "INFO", F.col("n")))
+def covered(x: Inputs) -> Column:
+    none = (F.col("n_bursts") == 0) | (F.col("coverage") <= 0)
+    return _if(none | (F.col("coverage") < x.min_coverage), F.when(none, "FAIL").otherwise("WARN"), F.round("coverage", 6))
 
 
-def one_processor(x: Inputs) -> DataFrame:
-    known = x.records.where(F.length("ipf") > 0)
-    g = known.groupBy("stack").agg(F.count_distinct(major_version(F.col("ipf"))).alias("n"), _listed("ipf").alias("v")).where("n > 1")
-    return finding(g, "SEL-08", "INFO", F.col("v"))
+def looks_told(x: Inputs) -> Column:
+    """Always due: the looks that the stack's spacings lead to, or that they are unknown."""
+    looks = best_looks(ground_range(F.col("rg"), F.col("incidence")), F.col("az"), x.target_m, x.max_aspect)
+    return _if(F.lit(True), "INFO", F.coalesce(F.concat_ws("x", looks["n_rg"].cast("string"), F.when(looks.isNotNull(), looks["n_az"].cast("string"))), F.lit("")))
 
 
-def spacing(x: Inputs) -> DataFrame:
-    both = x.records.where("rg_spacing > 0 and az_spacing > 0").groupBy("stack").agg(
-        F.count(F.lit(1)).alias("n"), *[((F.max(c) - F.min(c)) / F.median(c)).alias(c) for c in ("rg_spacing", "az_spacing")]
-    )
-    worst = F.greatest("rg_spacing", "az_spacing")
-    return finding(both.where((F.col("n") >= 2) & (worst > x.spacing_tolerance)), "SEL-09", "WARN", F.round(worst, 6))
+#: Rules over a stack's row, in order: id, and the expression of its finding (null: none).
+RULES: list[tuple[str, Callable[[Inputs], Column]]] = [
+    ("SEL-01", lambda x: _if(F.size("tracks") > 1, "FAIL", _listed("tracks"))),
+    ("SEL-02", lambda x: _if(F.size("directions") > 1, "FAIL", _listed("directions"))),
+    ("SEL-03", lambda x: _if((F.size("modes") > 1) | (F.col("n_layouts") > 1), "FAIL", F.concat_ws("/", _listed("modes"), F.col("n_layouts").cast("string")))),
+    ("SEL-04", covered),
+    ("SEL-05", lambda x: _if(F.exists("pols", lambda p: ~co_polarised(p)), "FAIL", _listed("pols"))),
+    ("SEL-06", lambda x: _if((F.col("n_pairs") > 0) & (F.col("n_known") == 0), "INFO", F.col("n_pairs"))),
+    ("SEL-07", lambda x: _if(F.col("n_crossing") > 0, "INFO", F.col("n_crossing"))),
+    ("SEL-08", lambda x: _if(F.col("n_versions") > 1, "INFO", _listed("versions"))),
+    ("SEL-09", lambda x: _if((F.col("n_spacings") >= 2) & (F.col("deviation") > x.spacing_tolerance), "WARN", F.round("deviation", 6))),
+    ("SEL-09", looks_told),
+    ("SEL-10", lambda x: _if(F.col("bad_dates") > 0, "WARN", F.col("bad_dates"))),
+]
 
 
-def complete_dates(x: Inputs) -> DataFrame:
-    per_date = x.records.groupBy("stack", "date").agg(F.count_distinct("burst").alias("n"), F.max(F.coalesce("missing_lines", F.lit(0))).alias("lines"))
-    bad = per_date.join(x.stacks.select("stack", "n_bursts"), "stack").where("n <> n_bursts or lines > 0").groupBy("stack").agg(F.count(F.lit(1)).alias("bad"))
-    return finding(bad, "SEL-10", "WARN", F.col("bad"))
+def on_stacks(x: Inputs, about: DataFrame) -> DataFrame:
+    """Findings of :data:`RULES`, from one row a stack."""
+    made = F.array(*[F.struct(F.lit(name).alias("rule"), rule(x).alias("f")) for name, rule in RULES])
+    rows = about.select("stack", F.explode(F.filter(made, lambda e: e["f"].isNotNull())).alias("e"))
+    return rows.select("stack", F.col("stack").cast("string").alias("scope"), "e.rule", "e.f.severity", "e.f.detail")
 
 
-RULES: dict[str, Callable[[Inputs], DataFrame]] = {
-    "SEL-01": one_track, "SEL-02": one_direction, "SEL-03": one_layout, "SEL-04": covered, "SEL-05": co_polarised_only, "SEL-06": perpendicular,
-    "SEL-07": temporal, "SEL-08": one_processor, "SEL-09": spacing, "SEL-10": complete_dates,
-}
+def on_pairs(x: Inputs) -> DataFrame:
+    """WARN for each pair too far apart in space or time, in one pass."""
+    far = _if(F.abs("bperp") > x.max_perp_m, "WARN", F.round(F.abs("bperp"), 3))
+    long = _if(F.col("dt_days") > x.max_days, "WARN", F.col("dt_days"))
+    made = F.array(F.struct(F.lit("SEL-06").alias("rule"), far.alias("f")), F.struct(F.lit("SEL-07").alias("rule"), long.alias("f")))
+    rows = x.pairs.select("stack", pair_key(F.col("ref"), F.col("sec")).alias("pair"), F.explode(F.filter(made, lambda e: e["f"].isNotNull())).alias("e"))
+    return rows.select("stack", F.concat_ws(":", F.col("stack").cast("string"), "pair").alias("scope"), "e.rule", "e.f.severity", "e.f.detail")
 
 
 def tracks_by_direction(stacks: DataFrame) -> DataFrame:
@@ -124,11 +158,9 @@ def tracks_by_direction(stacks: DataFrame) -> DataFrame:
 
 
 def precheck(x: Inputs) -> DataFrame:
-    """All findings: across stacks, then each rule."""
-    out = tracks_by_direction(x.stacks)
-    for rule in RULES.values():
-        out = out.unionByName(rule(x))
-    return out
+    """All findings: across stacks, of stacks, of pairs.  The inputs are worked out once."""
+    x = Inputs(**{**x.__dict__, "stacks": cut(x.stacks), "records": cut(x.records), "pairs": cut(x.pairs)})
+    return tracks_by_direction(x.stacks).unionByName(on_stacks(x, about_stacks(x))).unionByName(on_pairs(x))
 
 
 def severity_rank(c: Column) -> Column:

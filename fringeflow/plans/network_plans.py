@@ -8,6 +8,7 @@ from ..functions.dates import pair_key, regular_dates
 from ..functions.phase import wrap
 from ..operators import closure as cl
 from ..operators import network as nw
+from ..operators.frames import cut
 from .registry import plan, table
 
 STACK = ["stack"]
@@ -92,7 +93,8 @@ COMPONENTS = f"""recursive {PAIRS}, both_ways as (select stack, ref as a, sec as
 
 @plan(f"with {COMPONENTS} select stack, strftime(node, '%Y-%m-%d') as node, strftime(root, '%Y-%m-%d') as root from labels")
 def network_components(spark, sf_dir):
-    d, p = acquisitions(spark, sf_dir), sbas(spark, sf_dir)
+    d = cut(acquisitions(spark, sf_dir))
+    p = nw.build_pairs(d, STACK, max_days=MAX_DAYS, max_perp_m=MAX_PERP)
     out = nw.components(d.select("stack", F.col("date").alias("node")), p.select("stack", F.col("ref").alias("a"), F.col("sec").alias("b")), STACK)
     return out.select("stack", F.date_format("node", "yyyy-MM-dd").alias("node"), F.date_format("root", "yyyy-MM-dd").alias("root"))
 
@@ -106,17 +108,34 @@ def network_components(spark, sf_dir):
          cast(days_median as double) as days_median, days_max, round(perp_min, 6) as perp_min, round(perp_median, 6) as perp_median, round(perp_max, 6) as perp_max
   from comps left join stats using (stack)""")
 def network_summary(spark, sf_dir):
-    s = nw.network_summary(acquisitions(spark, sf_dir), sbas(spark, sf_dir), STACK)
+    d = cut(acquisitions(spark, sf_dir))
+    s = nw.network_summary(d, cut(nw.build_pairs(d, STACK, max_days=MAX_DAYS, max_perp_m=MAX_PERP)), STACK)
     return s.select(
         "stack", "n_components", "n_dates_disconnected", "n_pairs", "n_with_baseline", "days_min", F.col("days_median").cast("double").alias("days_median"), "days_max",
         *[F.round(f"perp_{x}", 6).alias(f"perp_{x}") for x in ("min", "median", "max")],
     )
 
 
-@plan()
+INTEGRATED = f"""recursive {PAIRS}, known as (select * from pairs where bperp is not null),
+  both_ways as (select stack, ref as a, sec as b from known union select stack, sec, ref from known),
+  origin as (select stack, min(a) as o from both_ways group by 1),
+  reach(stack, date) as (select stack, o from origin union select r.stack, e.b from reach r join both_ways e on e.stack = r.stack and e.a = r.date),
+  per_date as (select r.stack, r.date, d.bperp - z.bperp as bperp from reach r join dates d using (stack, date) join origin using (stack) join dates z on z.stack = r.stack and z.date = o)"""
+
+
+@plan(f"with {INTEGRATED} select stack, strftime(date, '%Y-%m-%d') as date, round(bperp, 6) as bperp from per_date")
 def baseline_integration(spark, sf_dir):
+    """Differences add up along any path, so the SQL takes them from the dates reached."""
     out = nw.integrate_baselines(sbas(spark, sf_dir), STACK)
-    return out.select("stack", F.date_format("date", "yyyy-MM-dd").alias("date"), F.round("bperp", 6).alias("bperp"), "hops")
+    return out.select("stack", F.date_format("date", "yyyy-MM-dd").alias("date"), F.round(F.round("bperp", 8), 6).alias("bperp"))
+
+
+@plan(f"""with {PAIRS}, kept as (select * from pairs where bperp is null or abs(bperp) <= 60)
+  select stack, count(*) filter (bperp is null or abs(bperp) <= 60) as n_pairs, count(*) filter (abs(bperp) > 60) as n_pairs_dropped, max(case when bperp is null or abs(bperp) <= 60 then dt_days end) as days_max from pairs group by 1""")
+def baselines_reapplied(spark, sf_dir):
+    """Pairs beyond a threshold go once baselines are known; the network is summed up anew."""
+    _, summary = nw.with_baselines(acquisitions(spark, sf_dir), cut(sbas(spark, sf_dir)), STACK, 60.0)
+    return summary.where("n_pairs + n_pairs_dropped > 0").select("stack", "n_pairs", "n_pairs_dropped", "days_max")
 
 
 @plan("""with seen as (

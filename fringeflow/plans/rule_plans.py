@@ -13,7 +13,9 @@ REC = """rec as (select l_suppkey as stack, 1 + (l_suppkey + case when l_suppkey
     case when l_suppkey % 13 = 0 and l_linestatus = 'O' then 'EW' else 'IW' end as mode, 'IW' || (1 + l_partkey % 2) as subswath,
     case l_suppkey % 5 when 0 then 'VH' when 1 then 'VV+VH' when 2 then 'hh/hv' else 'VV' end as pol, cast(date_trunc('month', l_shipdate) as date) as date, l_partkey % 4 as burst,
     case when l_suppkey % 7 = 0 then '003.' || (l_linenumber % 2) else '00' || (3 + l_linenumber % 2 * (l_suppkey % 2)) || '.31' end as ipf,
-    2.3 + case when l_suppkey % 6 = 0 then l_tax * 3 else 0 end as rg_spacing, case when l_suppkey % 8 = 1 then 0 else 14.0 end as az_spacing, case when l_discount > 0.095 and l_suppkey % 3 = 0 then 1 else 0 end as missing_lines from lineitem),
+    2.3 + case when l_suppkey % 6 = 0 then l_tax * 3 else 0 end as rg_spacing, case when l_suppkey % 8 = 1 then 0 else 14.0 end as az_spacing, case when l_discount > 0.095 and l_suppkey % 3 = 0 then 1 else 0 end as missing_lines, 30.0 + l_suppkey % 16 as incidence from lineitem),
+  own_dates as (select distinct stack, date from rec union select distinct stack, date '1991-01-01' from rec where stack % 5 = 2),
+  own_bursts as (select distinct stack, burst from rec where not (stack % 7 = 3 and burst = 3)),
   stk as (select stack, 1 + stack % 175 as track, case when stack % 2 = 0 then 'ASCENDING' else 'DESCENDING' end as direction, min(pol) as pol,
     round(least(1.0, count(distinct burst) * 0.25 * (1 - (stack % 4) * 0.2)), 6) as coverage, count(distinct burst) as n_bursts, count(distinct date) as n_dates, case when stack % 3 = 0 then null else stack % 90 - 30.0 end as lat from rec group by stack),
   d as (select stack, date, case when stack % 10 = 0 then null else max(rg_spacing) * 10 + month(date) * 20.0 end as bperp from rec group by 1, 2),
@@ -30,7 +32,7 @@ def inputs(spark, sf_dir):
         F.when(k % 5 == 0, "VH").when(k % 5 == 1, "VV+VH").when(k % 5 == 2, "hh/hv").otherwise("VV").alias("pol"), F.to_date(F.trunc("l_shipdate", "month")).alias("date"), (F.col("l_partkey") % 4).alias("burst"),
         F.when(k % 7 == 0, F.concat(F.lit("003."), (F.col("l_linenumber") % 2).cast("string"))).otherwise(F.concat(F.lit("00"), (3 + F.col("l_linenumber") % 2 * (k % 2)).cast("string"), F.lit(".31"))).alias("ipf"),
         (2.3 + F.when(k % 6 == 0, F.col("l_tax") * 3).otherwise(0.0)).alias("rg_spacing"), F.when(k % 8 == 1, 0.0).otherwise(14.0).alias("az_spacing"),
-        F.when((F.col("l_discount") > 0.095) & (k % 3 == 0), 1).otherwise(0).alias("missing_lines"),
+        F.when((F.col("l_discount") > 0.095) & (k % 3 == 0), 1).otherwise(0).alias("missing_lines"), (30.0 + k % 16).alias("incidence"),
     )
     s = F.col("stack")
     stk = rec.groupBy("stack").agg(F.min("pol").alias("pol"), F.count_distinct("burst").alias("n_bursts"), F.count_distinct("date").alias("n_dates")).select(
@@ -39,7 +41,8 @@ def inputs(spark, sf_dir):
     )
     b = F.when(s % 10 != 0, F.max("rg_spacing") * 10 + F.month("date") * 20.0)
     pairs = nw.build_pairs(rec.groupBy("stack", "date").agg(b.alias("bperp")), ["stack"], max_days=62, max_perp_m=1e9)
-    return rules.Inputs(stk, rec, pairs)
+    dates = rec.select("stack", "date").union(stk.where("stack % 5 = 2").select("stack", F.to_date(F.lit("1991-01-01")))).distinct()
+    return rules.Inputs(stk, rec, pairs, dates, rec.select("stack", "burst").where("not (stack % 7 = 3 and burst = 3)").distinct())
 
 
 KEY = "cast(stack as varchar) || ':' || strftime(ref, '%Y%m%d') || '_' || strftime(sec, '%Y%m%d')"
@@ -56,7 +59,11 @@ def _several(rule: str, column: str) -> str:
     return f"""select stack, cast(stack as varchar), '{rule}', 'FAIL', string_agg(v, ', ' order by v) from (select distinct stack, cast({column} as varchar) as v from rec union select stack, cast({column} as varchar) from stk) group by stack having count(*) > 1"""
 
 
-FOUND = f"""{REC}, found(stack, scope, rule, severity, detail) as (
+LOOKS = """spc as (select stack, median(rg_spacing) / sin(radians(any_value(incidence))) as rg, median(az_spacing) as az from rec where rg_spacing > 0 and az_spacing > 0 group by 1),
+  grid as (select stack, rg, az, r.n as n_rg, a.n as n_az, rg * r.n as p, az * a.n as q from spc, (select unnest(generate_series(1, 80)) as n) r, (select unnest(generate_series(1, 20)) as n) a where r.n <= greatest(1, ceil(120 / rg) + 1) and a.n <= greatest(1, ceil(120 / az) + 1)),
+  looks as (select stack, arg_min(n_rg, (abs(sqrt(p * q) - 30), n_rg * n_az, greatest(p, q) / least(p, q), n_rg, n_az)) as n_rg, arg_min(n_az, (abs(sqrt(p * q) - 30), n_rg * n_az, greatest(p, q) / least(p, q), n_rg, n_az)) as n_az from grid where greatest(p, q) / least(p, q) <= 2 group by 1)"""
+
+FOUND = f"""{REC}, {LOOKS}, found(stack, scope, rule, severity, detail) as (
   select cast(null as bigint), direction, 'SEL-01', 'INFO', cast(count(distinct track) as varchar) from stk group by direction having count(distinct track) >= 2
   union all {_several('SEL-01', 'track')} union all {_several('SEL-02', 'direction')}
   union all select m.stack, cast(m.stack as varchar), 'SEL-03', 'FAIL', modes || '/' || n_layouts from (select stack, string_agg(distinct mode, ', ' order by mode) as modes, count(distinct mode) as n_modes from rec group by 1) m
@@ -69,7 +76,9 @@ FOUND = f"""{REC}, found(stack, scope, rule, severity, detail) as (
   union all select stack, cast(stack as varchar), 'SEL-07', 'INFO', cast(count(*) as varchar) from (select p.stack, {_season('ref')} as a, {_season('sec')} as b from pairs p join stk using (stack)) where (a = 'snow' and b = 'leaf_on') or (a = 'leaf_on' and b = 'snow') group by stack
   union all select stack, cast(stack as varchar), 'SEL-08', 'INFO', string_agg(distinct ipf, ', ' order by ipf) from rec group by stack having count(distinct regexp_extract(ipf, '^\\s*(\\d+)', 1)::int) > 1
   union all select stack, cast(stack as varchar), 'SEL-09', 'WARN', cast(cast(round(w, 6) as double) as varchar) from (select stack, greatest((max(rg_spacing) - min(rg_spacing)) / median(rg_spacing), (max(az_spacing) - min(az_spacing)) / median(az_spacing)) as w, count(*) as n from rec where rg_spacing > 0 and az_spacing > 0 group by 1) where n >= 2 and w > 0.05
-  union all select stack, cast(stack as varchar), 'SEL-10', 'WARN', cast(count(*) as varchar) from (select stack, date, count(distinct burst) as n, max(missing_lines) as lines from rec group by 1, 2) join stk using (stack) where n <> n_bursts or lines > 0 group by stack)"""
+  union all select stack, cast(stack as varchar), 'SEL-09', 'INFO', n_rg || 'x' || n_az from looks union all select stack, cast(stack as varchar), 'SEL-09', 'INFO', '' from stk where stack not in (select stack from looks)
+  union all select stack, cast(stack as varchar), 'SEL-10', 'WARN', cast(count(*) as varchar) from (select o.stack, o.date, (select count(distinct r.burst) from rec r join own_bursts b on b.stack = r.stack and b.burst = r.burst where r.stack = o.stack and r.date = o.date) as n,
+      (select max(missing_lines) from rec r where r.stack = o.stack and r.date = o.date) as lines, (select count(*) from own_bursts b where b.stack = o.stack) as expected from own_dates o) where n <> expected or lines > 0 group by stack)"""
 
 
 @plan(f"with {FOUND} select * from found")

@@ -21,7 +21,7 @@ def major_version(version: Column) -> Column:
 
 def polarisations(p: Column) -> Column:
     """Tokens of VV+VH or VV/VH, upper case, blanks trimmed."""
-    return F.transform(F.split(F.translate(F.upper(p), "/", "+"), r"\+"), F.trim)
+    return F.transform(F.split(F.translate(F.upper(p), "/", "+"), r"\+"), lambda t: F.trim(t))
 
 
 def co_polarised(p: Column) -> Column:

@@ -79,45 +79,61 @@ def radius_join(sites: DataFrame, pixels: DataFrame, radius_m: float, site_id: s
     """(site, pixel, distance_m) within ``radius_m`` by great circle.
 
     Both sides have lat and lon columns.  Pixels are bucketed by latitude
-    bands of the radius; a site asks its own band and the two beside.
+    bands of the radius and, in each band, by as many cells of longitude
+    around the globe as are no narrower than the radius there; a site asks
+    its own band and cell and those beside, across the date line too.
     """
-    band = math.degrees(radius_m / EARTH_RADIUS_M) * 1.001
+    angle = radius_m / EARTH_RADIUS_M
+    band = math.degrees(angle) * 1.001
+
+    def cells(b):  # of a band, from the smallest circle of latitude that a pair may touch
+        cosine = F.greatest(F.cos(F.radians(F.least((F.abs(b) + 2) * band, F.lit(90.0)))), F.lit(1e-12))
+        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(angle / 2) / cosine))) * 1.001
+        return F.greatest(F.floor(360 / width), F.lit(1))
+
+    cell = lambda lon, b: F.floor((lon + 180) / 360 * cells(b))
     own = F.floor(F.col("lat") / band)
+    p = pixels.select(F.col(pixel_id), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), own.alias("_band"), F.pmod(cell(F.col("lon"), own), cells(own)).alias("_cell"))
     s = sites.select(F.col(site_id), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"), F.explode(F.array(own - 1, own, own + 1)).alias("_band"))
-    p = pixels.select(F.col(pixel_id), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), own.alias("_band"))
+    b = F.col("_band")
+    beside = F.array_distinct(F.array(*[F.pmod(cell(F.col("_slon"), b) + d, cells(b)) for d in (-1, 0, 1)]))
+    s = s.withColumn("_cell", F.explode(beside))
     d = haversine_m(F.col("_slat"), F.col("_slon"), F.col("_plat"), F.col("_plon"))
-    return p.join(s, "_band").select(site_id, pixel_id, d.alias("distance_m")).where(F.col("distance_m") <= radius_m)
+    return p.join(s, ["_band", "_cell"]).select(site_id, pixel_id, d.alias("distance_m")).where(F.col("distance_m") <= radius_m)
 
 
 def nearest_planar(sites: DataFrame, pixels: DataFrame, site_id: str = "site", pixel_id: str = "pixel") -> DataFrame:
     """(site, pixel, d2): the nearest pixel by planar distance, the smaller pixel id on a tie.
 
-    A site asks bands of latitude around its own, doubling the reach until
-    the best found is nearer than the reach; sites are resolved in rounds, the
-    number of which grows with the logarithm of the extent.
+    Pixels are bucketed by cells that hold a few of them on average; a site
+    asks its own cell and the eight around it, and is settled if what it
+    finds is no farther than a cell is wide.  The others ask again with cells
+    twice as wide, until none is left; rounds are cut by checkpoints.
     """
     from ..functions.phase import planar_distance2
+    from .frames import cut
 
-    extent = pixels.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon"), F.count(F.lit(1))).first()
-    if not extent[4]:
+    lat, lon = F.col("lat"), F.col("lon")
+    whole = pixels.select("lat", "lon").unionByName(sites.select("lat", "lon")).agg(F.min(lat), F.max(lat), F.min(lon), F.max(lon), F.min(F.cos(F.radians(lat)))).first()
+    n = pixels.count()
+    if not n or whole[0] is None:
         return sites.select(site_id).where("false").withColumn(pixel_id, F.lit(None)).withColumn("d2", F.lit(None).cast("double"))
-    step = max((extent[1] - extent[0]) / 64, 1e-9)
-    own = F.floor(F.col("lat") / step)
-    p = pixels.select(F.col(pixel_id), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), own.alias("_band"))
+    span = max(whole[1] - whole[0], whole[3] - whole[2], 1e-9)
+    step, shrink = span / max(1.0, math.sqrt(n / 4)), max(whole[4], 1e-9)
     d2 = planar_distance2(F.col("_slat"), F.col("_slon"), F.col("_plat"), F.col("_plon"))
-    todo = sites.select(F.col(site_id), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"))
-    low, high = math.floor(extent[0] / step), math.floor(extent[1] / step)
-    done, reach = None, 1
-    while True:
-        whole = reach > 64 + 2
-        home = F.floor(F.col("_slat") / step)
-        first, last = (F.lit(low), F.lit(high)) if whole else (F.greatest(home - reach, F.lit(low)), F.least(home + reach, F.lit(high)))
-        asked = todo.withColumn("_band", F.explode(F.when(first <= last, F.sequence(first.cast("long"), last.cast("long")))))
-        best = p.join(asked, "_band").groupBy(site_id, "_slat", "_slon").agg(F.min(F.struct(d2.alias("d2"), F.col(pixel_id))).alias("best"))
-        found = best if whole else best.where(F.col("best.d2") <= (reach * step) ** 2)
-        found = found.select(site_id, F.col(f"best.{pixel_id}").alias(pixel_id), F.col("best.d2").alias("d2"))
+    todo = cut(sites.select(F.col(site_id), lat.alias("_slat"), lon.alias("_slon")))
+    done = None
+    while todo.limit(1).count():
+        wide = step / shrink
+        p = pixels.select(F.col(pixel_id), lat.alias("_plat"), lon.alias("_plon"), F.floor(lat / step).alias("_y"), F.floor(lon / wide).alias("_x"))
+        around = F.array(*[F.struct((F.floor(F.col("_slat") / step) + dy).alias("_y"), (F.floor(F.col("_slon") / wide) + dx).alias("_x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+        asked = todo.withColumn("_c", F.explode(around)).select("*", "_c.*").drop("_c")
+        best = p.join(asked, ["_y", "_x"]).groupBy(site_id, "_slat", "_slon").agg(F.min(F.struct(d2.alias("d2"), F.col(pixel_id))).alias("best"))
+        last = step > span
+        found = cut((best if last else best.where(F.col("best.d2") <= step**2)).select(site_id, F.col(f"best.{pixel_id}").alias(pixel_id), F.col("best.d2").alias("d2")))
         done = found if done is None else done.unionByName(found)
-        if whole:
-            return done
-        todo = todo.join(found.select(site_id), site_id, "left_anti")
-        reach = 8 * reach if reach < 64 else 128
+        if last:
+            break
+        todo = cut(todo.join(found.select(site_id), site_id, "left_anti"))
+        step *= 2
+    return done

@@ -57,8 +57,8 @@ def compare(samples: DataFrame, site: str) -> tuple[DataFrame, DataFrame]:
 
 
 def referenced(series: DataFrame, keys: Sequence[str], is_reference: Column, value: str) -> DataFrame:
-    """The series less, at each date, the value of the reference pixel."""
-    ref = series.where(is_reference).groupBy(*keys).agg(F.first(value).alias("_ref"))
+    """The series less, at each date, the value of the reference pixel, the smallest where there are several."""
+    ref = series.where(is_reference).groupBy(*keys).agg(F.min(value).alias("_ref"))
     return series.join(ref, list(keys)).withColumn(value, F.col(value) - F.col("_ref")).drop("_ref")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .frames import cut
+
 
 def finite(x: Column) -> Column:
     """The value, null where it is not finite."""
@@ -102,8 +104,8 @@ def skyline(df: DataFrame, keys: Sequence[str], row: str, smaller: Sequence[str]
     Points in the order of the first objective can be dominated only by those
     before, so with two objectives one running minimum decides.  With more,
     rows are dealt into groups of about 4096, each keeps what none of its own
-    dominates, and the survivors, few unless the skyline itself is large, are
-    compared with each other.
+    dominates, and the survivors are compared in pairs of chunks; ``row`` is
+    unique.
     """
     goals = [F.col(c).cast("double") for c in smaller] + [-F.col(c).cast("double") for c in larger]
     known = df
@@ -126,12 +128,26 @@ def skyline(df: DataFrame, keys: Sequence[str], row: str, smaller: Sequence[str]
             keep = [not ((g <= x).all(axis=1) & (g < x).any(axis=1)).any() for x in g]
             return pdf[np.array(keep, bool)]
 
-        known = dealt.groupBy(*keys, "_salt").applyInPandas(local, dealt.schema)
-        other = known.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(f"_g{k}").alias(f"_h{k}") for k in range(len(goals))])
-        same = [F.col(k) == F.col(f"_{k}") for k in keys]
-        no_worse = [F.col(f"_h{k}") <= F.col(f"_g{k}") for k in range(len(goals))]
-        better = F.lit(False)
-        for k in range(len(goals)):
-            better = better | (F.col(f"_h{k}") < F.col(f"_g{k}"))
-        out = known.join(other, [*same, *no_worse, better], "left_anti")
+        known = cut(dealt.groupBy(*keys, "_salt").applyInPandas(local, dealt.schema))
+
+        # survivors in chunks, every two of which are compared in a group of their own
+        chunks = F.greatest(F.lit(1), F.ceil(F.col("count") / 4096)).cast("int")
+        if keys:
+            sized = known.join(known.groupBy(*keys).count().select(*keys, chunks.alias("_chunks")), list(keys))
+        else:
+            sized = known.withColumn("_chunks", F.lit(max(1, -(-known.count() // 4096))))
+        own = F.pmod(F.xxhash64(row), F.col("_chunks")).cast("int")
+        met = sized.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+        met = met.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other")}).select(*keys, F.col(row).alias("_row"), "_lo", "_hi", *[f"_g{k}" for k in range(width)])
+
+        def beaten(pdf):
+            import numpy as np
+
+            g = pdf[[f"_g{k}" for k in range(width)]].to_numpy(float)
+            lost = np.array([((g <= x).all(axis=1) & (g < x).any(axis=1)).any() for x in g], bool)
+            return pdf.loc[lost, ["_row"]]
+
+        kind = dict(known.dtypes)[row]
+        gone = met.groupBy(*keys, "_lo", "_hi").applyInPandas(beaten, f"_row {kind}").distinct()
+        out = known.join(gone, F.col(row) == F.col("_row"), "left_anti")
     return out.select(*df.columns)

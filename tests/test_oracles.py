@@ -35,7 +35,7 @@ def test_plan(spark, duck, name):
     cols = sorted(df.columns)
     got = sorted((tuple(canon(r[c]) for c in cols) for r in df.collect()), key=repr)
     if name not in ORACLES:
-        assert got or name
+        assert got  # rows; their values are tested against plain versions elsewhere
         return
     rel = duck.sql(ORACLES[name])
     assert sorted(rel.columns) == cols

@@ -61,7 +61,7 @@ def pair_scores(stats: DataFrame, pairs: DataFrame, stack: Sequence[str], value:
 
 
 def suspicious_pairs(stats: DataFrame, stack: Sequence[str], value: str, threshold: float) -> DataFrame:
-    """(stack..., place, pair, score): the worst pair again and again, its triplets taken out, while its mean exceeds the threshold.
+    """(stack..., place, pair, score): the worst pair again and again, its triplets taken out, while its mean, to nine decimals, exceeds the threshold; the last pair of equals.
 
     One stack's triplets are one group: they are a network's edges, small
     whatever the number of pixels.
@@ -80,7 +80,7 @@ def suspicious_pairs(stats: DataFrame, stack: Sequence[str], value: str, thresho
             for *edges, v in left:
                 for e in edges:
                     total.setdefault(e, []).append(v)
-            ranked = [(sum(v) / len(v), e) for e, v in total.items() if e not in flagged]
+            ranked = [(round(sum(v) / len(v), 9), e) for e, v in total.items() if e not in flagged]
             if not ranked or max(ranked)[0] <= threshold:
                 break
             score, worst = max(ranked)

@@ -200,7 +200,7 @@ CLOSURE = f"""{TRIPLETS}, {PHASES}, raw as (
 @plan(f"""with {CLOSURE} select stack, {D}, round(sqrt(avg(c * c)), 6) as rms, round(count(*) filter (turns <> 0) / count(*), 6) as nonzero_fraction
     from closed group by stack, d1, d2, d3""")
 def closure_by_triplet(spark, sf_dir):
-    p = sbas(spark, sf_dir)
+    p = cut(sbas(spark, sf_dir))
     s = cl.triplet_stats(cl.closure(phases(p), p, STACK), STACK)
     return dated(s, "d1", "d2", "d3").withColumn("rms", F.round("rms", 6)).withColumn("nonzero_fraction", F.round("nonzero_fraction", 6))
 
@@ -208,7 +208,7 @@ def closure_by_triplet(spark, sf_dir):
 @plan(f"""with {CLOSURE} select stack, cast(px as int) as px, round(sqrt(avg(c * c)), 6) as rms, count(*) filter (turns <> 0) as n_nonzero,
     round(sqrt(pow(sum(cos(c)), 2) + pow(sum(sin(c)), 2)) / count(*), 6) as coherence from closed group by stack, px""")
 def closure_by_pixel(spark, sf_dir):
-    p = sbas(spark, sf_dir)
+    p = cut(sbas(spark, sf_dir))
     s = cl.pixel_stats(cl.closure(phases(p), p, STACK), ["stack", "px"])
     return s.withColumn("rms", F.round("rms", 6)).withColumn("coherence", F.round("coherence", 6))
 
@@ -224,16 +224,27 @@ SCORES = f"""{CLOSURE}, per_tri as (select stack, d1, d2, d3, sqrt(avg(c * c)) a
 def closure_ranking(spark, sf_dir):
     from pyspark.sql import Window
 
-    p = sbas(spark, sf_dir)
+    p = cut(sbas(spark, sf_dir))
     s = cl.pair_scores(cl.triplet_stats(cl.closure(phases(p), p, STACK), STACK), p, STACK, "rms")
     order = Window.partitionBy("stack").orderBy(F.desc(F.round("score", 9)), "ref", "sec")
     return s.select("stack", pair_key(F.col("ref"), F.col("sec")).alias("pair"), F.round("score", 6).alias("score"), "n_triplets", F.row_number().over(order).cast("long").alias("place"))
 
 
-@plan()
+_PAIR = lambda a, b: f"strftime({a}, '%Y%m%d') || '_' || strftime({b}, '%Y%m%d')"
+PEELED = f"""{CLOSURE}, per_tri as (select stack, [{_PAIR('d1', 'd2')}, {_PAIR('d2', 'd3')}, {_PAIR('d1', 'd3')}] as tri, sqrt(avg(c * c)) as rms from closed group by stack, d1, d2, d3),
+  ed as (select stack, tri, unnest(tri) as pair, rms from per_tri),
+  peel(stack, place, flagged, pair, score) as (
+    select distinct stack, 0, []::varchar[], '', 0.0::double from per_tri
+    union all
+    select stack, place + 1, list_append(flagged, worst), worst, score from (
+      select stack, place, flagged, arg_max(pair, (s, pair)) as worst, max(s) as score from (
+        select p.stack, p.place, p.flagged, e.pair, round(avg(e.rms), 9) as s from peel p join ed e on e.stack = p.stack and not list_has_any(e.tri, p.flagged) group by 1, 2, 3, 4) group by 1, 2, 3) where score > 1.2)"""
+
+
+@plan(f"with recursive {PEELED} select stack, cast(place as bigint) as place, pair, round(score, 6) as score from peel where place > 0")
 def closure_suspicious(spark, sf_dir):
-    p = sbas(spark, sf_dir)
-    out = cl.suspicious_pairs(cl.triplet_stats(cl.closure(phases(p), p, STACK), STACK), STACK, "rms", 4.0)
+    p = cut(sbas(spark, sf_dir))
+    out = cl.suspicious_pairs(cl.triplet_stats(cl.closure(phases(p), p, STACK), STACK), STACK, "rms", 1.2)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -241,7 +252,7 @@ def closure_suspicious(spark, sf_dir):
     select (select round(sqrt(avg(c * c)), 6) from closed) as pooled_rms, (select round(sqrt(avg(rms * rms)), 6) from per_px) as rms_of_pixels,
            (select round(sqrt(avg(pow(atan2(sin(c), cos(c)), 2))), 6) from closed) as wrapped_rms""")
 def closure_pooled(spark, sf_dir):
-    p = sbas(spark, sf_dir)
+    p = cut(sbas(spark, sf_dir))
     c = cl.closure(phases(p), p, STACK)
     pooled = c.agg(F.round(F.sqrt(F.avg(F.pow("closure", 2))), 6).alias("pooled_rms"), F.round(F.sqrt(F.avg(F.pow(wrap(F.col("closure")), 2))), 6).alias("wrapped_rms"))
     by_px = cl.pixel_stats(c, ["stack", "px"]).agg(F.round(F.sqrt(F.avg(F.pow("rms", 2))), 6).alias("rms_of_pixels"))

@@ -226,16 +226,26 @@ def reference_pixels(spark, sf_dir):
 _DIST = f"2 * {EARTH_RADIUS_M} * asin(sqrt(least(greatest(pow(sin(radians(la - lat) / 2), 2) + cos(radians(lat)) * cos(radians(la)) * pow(sin(radians(lo - lon) / 2), 2), 0), 1)))"
 
 
-@plan(f"""with {PX}, b as (select median(dem) as h, avg(lat) as la, avg(lon) as lo, quantile_cont(abs(velocity), 0.95) as v95 from px),
+SCORED = f"""{PX}, b as (select median(dem) as h, avg(lat) as la, avg(lon) as lo, quantile_cont(abs(velocity), 0.95) as v95 from px),
     major as (select arg_max(conncomp, (c, -conncomp)) as major from (select conncomp, count(*) as c from px where conncomp > 0 group by 1)),
-    d as (select *, abs(dem - h) as dev, {_DIST} as dist from px, b, major), m as (select max(dev) as dm, max(dist) as xm from d)
-    select row, col, round(0.4 * least(greatest(coherence, 0), 1) + 0.2 * (conncomp = major)::int + 0.1 * least(greatest(1 - dev / dm, 0), 1) + 0.15 * least(greatest(1 - dist / xm, 0), 1)
-      + 0.15 * least(greatest(1 - abs(velocity) / v95, 0), 1), 6) as score from d, m""")
+    d as (select *, abs(dem - h) as dev, {_DIST} as dist from px, b, major), m as (select max(dev) as dm, max(dist) as xm from d),
+    scored as (select row, col, 0.4 * least(greatest(coherence, 0), 1) + 0.2 * (conncomp = major)::int + 0.1 * least(greatest(1 - dev / dm, 0), 1) + 0.15 * least(greatest(1 - dist / xm, 0), 1)
+      + 0.15 * least(greatest(1 - abs(velocity) / v95, 0), 1) as score from d, m)"""
+
+
+@plan(f"with {SCORED} select row, col, round(score, 6) as score from scored")
 def reference_point_scores(spark, sf_dir):
     return series.reference_scores(reference_pixels(spark, sf_dir), WEIGHTS).select("row", "col", F.round("score", 6).alias("score"))
 
 
-@plan()
+@plan(f"""with recursive {SCORED}, rounded as (select row, col, round(score, 9) as score from scored where score is not null),
+    best(place, taken, row, col, score) as (
+      select 0, []::struct(r bigint, c bigint)[], 0::bigint, 0::bigint, 0.0::double
+      union all
+      select place + 1, list_append(taken, {{'r': b.row, 'c': b.col}}), b.row, b.col, b.score from (
+        select p.place, p.taken, arg_min({{'row': cast(s.row as bigint), 'col': cast(s.col as bigint), 'score': s.score}}, (-s.score, s.row, s.col)) as b from best p, rounded s
+        where p.place < 5 and len(list_filter(p.taken, lambda t: greatest(abs(t.r - s.row), abs(t.c - s.col)) < 5)) = 0 group by 1, 2))
+  select cast(place as bigint) as place, row, col, score from best where place > 0""")
 def reference_points(spark, sf_dir):
     scored = series.reference_scores(reference_pixels(spark, sf_dir), WEIGHTS).withColumn("score", F.round("score", 9))
     return series.top_separated(scored, 5, 5)

@@ -90,15 +90,16 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
     """``left`` with the columns of ``right`` (one row a key, may be missing), a hot key's rows dealt over tasks.
 
     Keys of more than ``HUB`` rows of ``left`` are counted with map-side
     combine; there is at most one per ``HUB`` rows, and each is dealt by a
     hash of ``by`` into parts of about ``HUB``, for which its row of
-    ``right`` is repeated.
+    ``right`` is repeated.  ``counted``: (key, count) of ``left``, where
+    that is known.
     """
-    hubs = left.groupBy(key).count().where(F.col("count") > HUB)
+    hubs = (left.groupBy(key).count() if counted is None else counted).where(F.col("count") > HUB)
     hubs = durable(hubs.select(key, F.ceil(F.col("count") / HUB).cast("int").alias("_parts")))
     n = hubs.count()
     if not n:

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, spread_join
 
 BASE = 0x9E3779B97F4A7C15 | 1
 WORD = 1 << 64
@@ -480,9 +480,9 @@ def repeated_passages(df: DataFrame, id_col: str, text_col: str, *, length: int
     less = durable(less.dropDuplicates(["key"]).withColumn("hex", F.lower(F.hex("key"))).drop("key"))
 
     docs = rows.select("id", F.sha2("text", 256).alias("hex"), F.octet_length("text").cast("long").alias("n_bytes"))
-    copies = docs.groupBy("hex").count().withColumnRenamed("count", "copies")
-    known = copies.join(less, "hex", "left")
-    out = docs.join(known, "hex")
+    counted = durable(docs.groupBy("hex").count())
+    known = counted.withColumnRenamed("count", "copies").join(less, "hex", "left")
+    out = spread_join(docs, known, "hex", "id", counted)
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     none = F.array().cast("array<struct<start:long,end:long>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))

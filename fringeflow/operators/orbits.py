@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import cut
+
 AXES = ("x", "y", "z")
 
 
@@ -66,13 +68,15 @@ def zero_doppler(a: Column, b: Column, target: Column, pad: float = 30.0, widest
 def with_baseline(df: DataFrame, ref_a: str, ref_b: str, sec_a: str, sec_b: str, target: str, t_ref: str, t_sec: str, name: str = "baseline") -> DataFrame:
     """``df`` with a struct (perpendicular, parallel, along_track, total) of the secondary's position against the reference's, both at zero Doppler.
 
-    Worked out column by column, so that no expression repeats another's.
+    Worked out in steps cut by checkpoints: the optimizer would put every
+    step's expression in place of its name, over and over.
     """
     c = F.col
     out = df.withColumns({
         "_p": position(c(ref_a), c(ref_b), c(t_ref)), "_v": unit(velocity(c(ref_a), c(ref_b), c(t_ref))), "_q": position(c(sec_a), c(sec_b), c(t_sec)),
     })
-    out = out.withColumns({"_look": unit(minus(c("_p"), c(target))), "_apart": minus(c("_q"), c("_p"))})
-    out = out.withColumn("_normal", unit(cross(c("_v"), c("_look"))))
+    out = cut(out).withColumns({"_look": unit(minus(c("_p"), c(target))), "_apart": minus(c("_q"), c("_p"))})
+    out = cut(out).withColumn("_normal", unit(cross(c("_v"), c("_look"))))
+    out = cut(out)
     made = F.struct(dot(c("_apart"), c("_normal")).alias("perpendicular"), dot(c("_apart"), c("_look")).alias("parallel"), dot(c("_apart"), c("_v")).alias("along_track"), F.sqrt(dot(c("_apart"), c("_apart"))).alias("total"))
     return out.withColumn(name, made).drop("_p", "_v", "_q", "_look", "_apart", "_normal")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import orbits, runs
+from ..operators.frames import cut
 from .registry import plan, table
 
 _L = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::varchar[]"
@@ -146,5 +147,5 @@ def zero_doppler_times(spark, sf_dir):
 def orbit_baselines(spark, sf_dir):
     x = arcs(spark, sf_dir)
     t = lambda p, q: orbits.zero_doppler(F.col(p), F.col(q), F.col("target"))
-    x = x.withColumn("t_ref", t("a", "b")).withColumn("t_sec", t("c", "d"))
+    x = cut(x.withColumn("t_ref", t("a", "b")).withColumn("t_sec", t("c", "d")))  # or the halvings are worked out again at every use
     return orbits.with_baseline(x, "a", "b", "c", "d", "target", "t_ref", "t_sec", "m").select("o_orderkey", *[F.round(f"m.{n}", 3).alias(n) for n in ("perpendicular", "parallel", "total")])

@@ -71,3 +71,29 @@ def layover_shadow_code(layover: Column, shadow: Column, valid: Column) -> Colum
 def spread(mean: Column, std: Column, digits: int = 3) -> Column:
     """``mean ± std`` as text."""
     return F.concat(F.format_string(f"%.{digits}f", mean), F.lit(" ± "), F.format_string(f"%.{digits}f", std))
+
+
+def sweep_lines(rows: DataFrame, front: DataFrame, index: str, params: str, metrics: Sequence[str], digits: int = 3) -> DataFrame:
+    """(index, line): the points of a sweep as table lines; ``*`` marks those of the front, missing metrics are empty.
+
+    ``rows``: index, params, the metrics, ok; ``front``: the index of each
+    point that none dominates.
+    """
+    marked = rows.join(front.select(index).distinct().withColumn("_mark", F.lit("*")), index, "left")
+    said = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))), F.lit(""))
+    cells = [F.col(index).cast("string"), masked(escaped(F.col(params))), *[said(c) for c in metrics], F.coalesce("_mark", F.lit("")), F.when(F.col("ok"), "ok").otherwise("failed")]
+    return marked.select(index, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def precheck_payload(candidates: DataFrame, findings: DataFrame) -> DataFrame:
+    """(kind, value): candidates and findings of a precheck as masked JSON, a row each; :func:`envelope` holds the counts."""
+    found = findings.select("severity", "rule", "scope", "detail")
+    say = lambda df, kind: masked_json(df).select(F.lit(kind).alias("kind"), "value")
+    return say(candidates, "candidate").union(say(found, "finding"))
+
+
+def closure_dashboard(triplets: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys..., value): per network the number of triplets, their root mean square and the largest, as JSON."""
+    v = F.col(value)
+    n = triplets.groupBy(*keys).agg(F.count(v).alias("n_triplets"), F.sqrt(F.avg(v * v)).alias("rms"), F.max(F.abs(v)).alias("largest"))
+    return n.select(*keys, F.to_json(F.struct("n_triplets", "rms", "largest")).alias("value"))

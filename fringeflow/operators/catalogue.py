@@ -35,6 +35,40 @@ def within_box(df: DataFrame, west: float, south: float, east: float, north: flo
     return df.where(touch | F.col("w").isNull())
 
 
+def searched(
+    df: DataFrame, box: tuple[float, float, float, float] | None = None, first: str | None = None, last: str | None = None, direction: str = "auto",
+    channel: str | None = None, track: int | None = None, platforms: Sequence[str] = (), level: str | None = None, mode: str | None = None,
+) -> DataFrame:
+    """Scenes that a query asks for; what it leaves open does not narrow it.
+
+    Every condition compares a column with a value, so they reach the scan;
+    only the channel's fallback to all rows needs an aggregate first.  Days
+    are inclusive.  Columns: w, s, e, n, day, direction, pol, track, platform,
+    level, mode.
+    """
+    out = df if box is None else within_box(df, *box)
+    for name, ok in (("day", first and F.col("day") >= F.lit(first).cast("date")), ("day", last and F.col("day") <= F.lit(last).cast("date")), ("track", track is not None and F.col("track") == track), ("level", level and F.col("level") == level), ("mode", mode and F.col("mode") == mode)):
+        if isinstance(ok, Column):
+            out = out.where(ok & F.col(name).isNotNull())
+    if platforms:
+        out = out.where(F.col("platform").isin(*platforms))
+    out = by_direction(out, direction)
+    return out if channel is None else by_polarisation(out, channel)
+
+
+def best_level(df: DataFrame, keys: Sequence[str], levels: Sequence[str]) -> DataFrame:
+    """The rows of the first level, in the order given, that each query has any of; ``rank`` tells which, above 0 a fallback."""
+    rank = F.coalesce(*[F.when(F.col("level") == v, F.lit(k)) for k, v in enumerate(levels)])
+    ranked = df.withColumn("rank", rank).where(F.col("rank").isNotNull())
+    return ranked.join(ranked.groupBy(*keys).agg(F.min("rank").alias("rank")), [*keys, "rank"], "left_semi")
+
+
+def fallback_findings(asked: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., severity, detail): a WARN for queries met by a level that is not the first, a FAIL for those that nothing meets."""
+    met = asked.select(*keys).distinct().join(chosen.groupBy(*keys).agg(F.min("rank").alias("rank"), F.min("level").alias("level")), list(keys), "left")
+    return met.where("rank is null or rank > 0").select(*keys, F.when(F.col("rank").isNull(), "FAIL").otherwise("WARN").alias("severity"), F.coalesce("level", F.lit("none")).alias("detail"))
+
+
 def in_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
     """Ray casting against a closed ring of a few vertices."""
     inside = F.lit(False)

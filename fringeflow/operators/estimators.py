@@ -31,12 +31,48 @@ def kolmogorov_critical(alpha: float, n: int, m: int) -> float:
     return (low + high) / 2 * math.sqrt((n + m) / (n * m))
 
 
-def linked_phase(df: DataFrame, block: Sequence[str], epoch: str, re: str, im: str, sample: str) -> DataFrame:
-    """(block..., epoch, phase, quality): the leading eigenvector of each block's coherence-weighted covariance, first epoch at zero.
+def coherence_of(z):
+    """Complex coherence of epochs (rows) over samples; zero beside an epoch without power."""
+    import numpy as np
 
-    A block's samples by epochs are one small group; the grouped map does an
-    eigendecomposition of epochs by epochs.
+    c = z @ z.conj().T
+    power = np.sqrt(np.maximum(np.real(np.diag(c)), 0.0))
+    scale = np.outer(power, power)
+    return np.where(scale > 0, c / np.where(scale > 0, scale, 1.0), 0.0)
+
+
+def phases_of(c, method: str = "evd", beta: float = 0.0):
+    """Phases of a coherence matrix, the first at zero.
+
+    ``evd``: the eigenvector of the largest eigenvalue of the matrix weighted
+    by its magnitudes.  ``emi``: that of the smallest of the matrix weighted by
+    the inverse of its magnitudes, which are drawn towards the identity by
+    ``beta``.
+    """
+    import numpy as np
+
+    if method == "evd":
+        v = np.linalg.eigh(c * np.abs(c))[1][:, -1]
+    else:
+        v = np.linalg.eigh(c * np.linalg.inv((1 - beta) * np.abs(c) + beta * np.eye(len(c))))[1][:, 0]
+    return np.angle(v * np.conj(v[0]))
+
+
+def linked_phase(df: DataFrame, block: Sequence[str], epoch: str, re: str, im: str, sample: str, method: str = "evd", beta: float = 0.01, short: int | None = None) -> DataFrame:
+    """(block..., epoch, phase, quality): linked phases of each block's epochs, first epoch at zero.
+
+    Methods as in :func:`phases_of`.  With ``short``, runs of as many epochs
+    are linked each, compressed to one image, and the images linked in turn.
+    ``quality`` is the length of the mean misfit of all pairs of epochs, 1 for
+    one epoch.  A block's samples by epochs are one small group; the grouped
+    map does an eigendecomposition of epochs by epochs.
     """
+    if method not in ("evd", "emi"):
+        raise ValueError(f"unknown method {method!r}")
+    if not 0 <= beta < 1:
+        raise ValueError("beta must be in [0, 1)")
+    if short is not None and short < 2:
+        raise ValueError("a short stack has two epochs or more")
     kinds = dict(df.dtypes)
 
     def link(pdf):
@@ -47,15 +83,16 @@ def linked_phase(df: DataFrame, block: Sequence[str], epoch: str, re: str, im: s
         _, s = np.unique(pdf[sample], return_inverse=True)
         z = np.zeros((len(epochs), s.max() + 1), complex)
         z[e, s] = pdf[re].to_numpy() + 1j * pdf[im].to_numpy()
-        c = z @ z.conj().T
-        scale = np.sqrt(np.maximum(np.real(np.diag(c)), 1e-30))
-        c = c / np.outer(scale, scale)
-        _, vectors = np.linalg.eigh(c * np.abs(c))
-        v = vectors[:, -1]
-        phase = np.angle(v * np.conj(v[0]))
-        fit = np.real(np.exp(1j * np.angle(c)) * np.exp(-1j * (phase[:, None] - phase[None])))
-        n = len(epochs)
-        quality = (fit.sum() - n) / (n * n - n) if n > 1 else 1.0
+        n, size = len(epochs), short or len(epochs)
+        runs = [slice(k, min(k + size, n)) for k in range(0, n, size)]
+        phase = np.concatenate([phases_of(coherence_of(z[r]), method, beta) for r in runs])
+        if len(runs) > 1:
+            images = np.stack([np.exp(-1j * phase[r]) @ z[r] / np.sqrt(r.stop - r.start) for r in runs])
+            for r, shift in zip(runs, phases_of(coherence_of(images), method, beta), strict=True):
+                phase[r] += shift
+            phase = np.angle(np.exp(1j * phase))
+        a, b = np.triu_indices(n, 1)
+        quality = abs(np.exp(1j * (np.angle(coherence_of(z)[a, b]) - phase[a] + phase[b])).mean()) if n > 1 else 1.0
         out = pd.DataFrame({c: pdf[c].iloc[0] for c in block}, index=range(n))
         return out.assign(**{epoch: epochs, "phase": phase, "quality": quality})
 

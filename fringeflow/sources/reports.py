@@ -92,6 +92,13 @@ def precheck_payload(candidates: DataFrame, findings: DataFrame) -> DataFrame:
     return say(candidates, "candidate").union(say(found, "finding"))
 
 
+def validation_lines(sites: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
+    """(site, line): one table line a site; numbers with fixed decimals, missing ones as a dash, text masked."""
+    kinds = dict(sites.dtypes)
+    say = lambda c: F.when(F.col(c).isNull() | F.isnan(F.col(c)), "-").otherwise(F.format_string(f"%.{digits}f", F.col(c))) if kinds[c] in ("double", "float") else masked(escaped(F.col(c)))
+    return sites.select("site", F.concat(F.lit("| "), F.concat_ws(" | ", *[say(c) for c in ("site", *columns)]), F.lit(" |")).alias("line"))
+
+
 def closure_dashboard(triplets: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys..., value): per network the number of triplets, their root mean square and the largest, as JSON."""
     v = F.col(value)

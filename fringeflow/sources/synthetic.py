@@ -82,6 +82,39 @@ def phase_noise(coh: Column, z: Column, looks: int = 1) -> Column:
     return z * std
 
 
+def coherence_matrix(n: int, tau: float = 4.0, floor: float = 0.0):
+    """Coherence of epochs that decays with their distance towards a floor."""
+    import numpy as np
+
+    i = np.arange(n)
+    return floor + (1 - floor) * np.exp(-np.abs(i[:, None] - i) / tau)
+
+
+def complex_stack(pixels: DataFrame, keys: Sequence[str], gamma, phase: Column, seed: int = 0, amplitude: Column | float = 1.0) -> DataFrame:
+    """(keys..., epoch, phase_true, re, im): a complex image an epoch whose covariance over pixels is known.
+
+    ``gamma``: the coherence of the epochs; ``phase``: the phase of an epoch,
+    an expression over the pixel's columns and ``epoch``, which is drawn to
+    zero at the first.  A pixel's draws are told by the seed and its keys, and
+    mixed by the factor of ``gamma``, so pixels are made independently.
+    """
+    import numpy as np
+
+    n = len(gamma)
+    factor = np.linalg.cholesky(np.asarray(gamma, float) + 1e-9 * np.eye(n)) / math.sqrt(2)
+    at = lambda part, k: normal(drawn(seed, F.lit(f"{part}/{k}/a"), *keys), drawn(seed, F.lit(f"{part}/{k}/b"), *keys))
+    draws = pixels.select("*", *[F.array(*[at(part, k) for k in range(n)]).alias(f"_{part}") for part in ("re", "im")])
+    rows = draws.withColumn("_f", F.explode(F.array(*[F.struct(F.lit(e).alias("epoch"), F.array(*[F.lit(float(x)) for x in factor[e]]).alias("row")) for e in range(n)])))
+    rows = rows.withColumn("epoch", F.col("_f.epoch"))
+    mixed = lambda part: F.aggregate(F.zip_with(F.col("_f.row"), F.col(part), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    first = rows.withColumn("_p", phase).withColumn("_re", mixed("_re")).withColumn("_im", mixed("_im"))
+    p = F.col("_p") - F.first("_p").over(Window.partitionBy(*keys).orderBy("epoch"))
+    a = amplitude if isinstance(amplitude, Column) else F.lit(float(amplitude))
+    turned = first.withColumn("phase_true", p).withColumn("_a", a)
+    c, s = F.cos("phase_true"), F.sin("phase_true")
+    return turned.select(*keys, "epoch", "phase_true", (F.col("_a") * (F.col("_re") * c - F.col("_im") * s)).alias("re"), (F.col("_a") * (F.col("_re") * s + F.col("_im") * c)).alias("im"))
+
+
 def rayleigh(scale: Column, u: Column) -> Column:
     """Single-look amplitude of a scale."""
     return scale * F.sqrt(-2 * F.log(1 - u))

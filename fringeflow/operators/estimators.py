@@ -31,6 +31,16 @@ def kolmogorov_critical(alpha: float, n: int, m: int) -> float:
     return (low + high) / 2 * math.sqrt((n + m) / (n * m))
 
 
+def welch(df: DataFrame, keys: Sequence[str], sample: str, value: str) -> DataFrame:
+    """(keys..., t, dof): the difference of two samples' means over its error, variances not pooled; null where a sample has under two values or neither varies."""
+    of = lambda yes: F.when(F.col(sample) == yes, F.col(value).cast("double"))
+    g = df.groupBy(*keys).agg(*[f(of(yes)).alias(f"_{n}{int(yes)}") for yes in (True, False) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    a, b = F.col("_v1") / F.col("_n1"), F.col("_v0") / F.col("_n0")
+    known = (F.col("_n1") > 1) & (F.col("_n0") > 1) & (a + b > 0)
+    dof = (a + b) * (a + b) / (a * a / (F.col("_n1") - 1) + b * b / (F.col("_n0") - 1))
+    return g.select(*keys, F.when(known, (F.col("_m1") - F.col("_m0")) / F.sqrt(a + b)).alias("t"), F.when(known, dof).alias("dof"))
+
+
 def coherence_of(z):
     """Complex coherence of epochs (rows) over samples; zero beside an epoch without power."""
     import numpy as np

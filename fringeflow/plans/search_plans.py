@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as cat
 from ..operators import estimators as est
-from ..sources import synthetic
+from ..sources import records, synthetic
 from .registry import plan, table
 
 _SCENES = """scenes as (select o_orderkey as id, cast(o_orderdate as date) as day, o_custkey % 5 as track, case o_orderkey % 3 when 0 then 'A' when 1 then 'B' end as platform, case when o_custkey % 4 = 0 then 'SLC' when o_custkey % 4 = 3 then 'GRD' when o_orderkey % 3 = 0 then 'SLC' else 'BURST' end as level,
@@ -41,6 +41,25 @@ def level_findings(spark, sf_dir):
     return cat.fallback_findings(s, cat.best_level(s, ["query"], ["BURST", "SLC"]), ["query"])
 
 
+@plan("""with g as (select l_suppkey, count(*) filter (l_returnflag = 'A') as n1, count(*) filter (l_returnflag <> 'A') as n0, avg(l_quantity) filter (l_returnflag = 'A') as m1, avg(l_quantity) filter (l_returnflag <> 'A') as m0,
+    var_samp(l_quantity) filter (l_returnflag = 'A') as v1, var_samp(l_quantity) filter (l_returnflag <> 'A') as v0 from lineitem group by 1)
+  select l_suppkey, case when n1 > 1 and n0 > 1 and v1 / n1 + v0 / n0 > 0 then round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 8) end as t,
+    case when n1 > 1 and n0 > 1 and v1 / n1 + v0 / n0 > 0 then round(pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)), 6) end as dof from g""")
+def unequal_variances(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").withColumn("s", F.col("l_returnflag") == "A")
+    return est.welch(v, ["l_suppkey"], "s", "l_quantity").withColumns({"t": F.round("t", 8), "dof": F.round("dof", 6)})
+
+
+_SITES = """sites as (select c_custkey as site, c_custkey % 5 as ok, case when c_custkey % 5 = 1 then 'levelling' else 'gnss' end as kind, c_acctbal as value from customer)"""
+
+
+@plan(f"with {_SITES} select site, value, kind from sites where ok in (1, 2)")
+def both_ground_truths(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("site"), F.col("c_acctbal").alias("value"))
+    of = lambda n, kind: c.where(F.col("site") % 5 == n).withColumn("kind", F.lit(kind))
+    return records.combined_ground_truth(of(1, "levelling"), of(2, "gnss"))
+
+
 @plan()
 def linked_synthetic(spark, sf_dir):
     """A block a supplier: 6 epochs of 64 samples, phase a line in time, linked in short stacks."""

@@ -51,6 +51,17 @@ def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return good, rows.where("rule is not null").select("rule", "site_id", "date")
 
 
+def combined_ground_truth(levelling: DataFrame | None = None, gnss: DataFrame | None = None) -> DataFrame:
+    """Both kinds of ground truth in one table; refused where there is neither."""
+    given = [df for df in (levelling, gnss) if df is not None]
+    if not given:
+        raise ValueError("VAL-014: neither levelling nor GNSS was given")
+    out = given[0]
+    for df in given[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def read_orbits(spark: SparkSession, path: str) -> DataFrame:
     """(time, x, y, z, vx, vy, vz) of the state vectors in orbit files, in order of time by file."""
     schema = "UTC string, X struct<_VALUE:double,_unit:string>, Y struct<_VALUE:double,_unit:string>, Z struct<_VALUE:double,_unit:string>, VX struct<_VALUE:double,_unit:string>, VY struct<_VALUE:double,_unit:string>, VZ struct<_VALUE:double,_unit:string>"

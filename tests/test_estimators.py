@@ -87,3 +87,15 @@ def test_validation_lines(spark):
     assert {r.line for r in reports.validation_lines(s, ["rmse", "n"]).collect()} == {"| A\\|b | 1.000 | 3 |", "| c | - | 4 |"}
     t = spark.createDataFrame([("x", 3.0), ("x", -4.0)], "net string, v double")
     assert json.loads(reports.closure_dashboard(t, ["net"], "v").first()["value"]) == {"n_triplets": 2, "rms": math.sqrt(12.5), "largest": 4.0}
+
+
+def test_welch_and_ground_truth(spark):
+    from fringeflow.sources import records
+
+    df = spark.createDataFrame([("a", True, 1.0), ("a", True, 3.0), ("a", False, 2.0), ("a", False, 8.0), ("b", True, 1.0), ("b", False, 2.0), ("c", True, 1.0), ("c", True, 1.0), ("c", False, 1.0), ("c", False, 1.0)], "k string, s boolean, v double")
+    got = {r.k: (r.t, r.dof) for r in estimators.welch(df, ["k"], "s", "v").collect()}
+    assert got["a"] == (pytest.approx(-3 / math.sqrt(10)), pytest.approx(100 / 82))
+    assert got["b"] == got["c"] == (None, None)
+    assert records.combined_ground_truth(df, df.drop("v")).count() == 20
+    with pytest.raises(ValueError, match="VAL-014"):
+        records.combined_ground_truth()

@@ -50,19 +50,41 @@ def zero_doppler(a: Column, b: Column, target: Column, pad: float = 30.0, widest
     """Seconds at which the target is broadside, ``(P(t) - T) . V(t) = 0``; null where no sign change is found.
 
     The bracket is the arc and ``pad`` seconds on either side, widened in
-    steps of ``pad`` up to ``widest``; then it is halved.
+    steps of ``pad`` up to ``widest``; then it is halved.  Along a cubic the
+    condition is a polynomial of degree five in the arc's share, so its six
+    coefficients are worked out once a row and every step costs five products.
     """
-    f = lambda t: dot(minus(position(a, b, t), target), velocity(a, b, t))
-    steps = F.transform(F.sequence(F.lit(1), F.lit(int(widest // pad))), lambda k: k * pad)
-    lo = F.get(F.filter(F.transform(steps, lambda d: a["t"] - d), lambda t: f(t) <= 0), F.lit(0))
-    hi = F.get(F.filter(F.transform(steps, lambda d: b["t"] + d), lambda t: f(t) >= 0), F.lit(0))
+    h = b["t"] - a["t"]
+    zero = F.lit(0.0)
+    k = [zero] * 6
+    for c in AXES:
+        va, vb, apart = h * a[f"v{c}"], h * b[f"v{c}"], b[c] - a[c]
+        q, p1, p2, p3 = a[c] - target[c], va, 3 * apart - 2 * va - vb, va + vb - 2 * apart
+        terms = (q * p1, p1 * p1 + 2 * q * p2, 3 * (q * p3 + p1 * p2), 4 * p1 * p3 + 2 * p2 * p2, 5 * p2 * p3, 3 * p3 * p3)
+        k = [x + y for x, y in zip(k, terms, strict=True)]
+    names = [f"k{i}" for i in range(6)]
+    fixed = lambda acc: [acc[n].alias(n) for n in (*names, "h")]
+
+    def f(acc, s):
+        out = acc["k5"]
+        for n in reversed(names[:-1]):
+            out = out * s + acc[n]
+        return out / acc["h"]
+
+    def bracket(acc, d):
+        lo, hi = -d * pad / acc["h"], 1 + d * pad / acc["h"]
+        return F.struct(*fixed(acc), F.coalesce(acc["lo"], F.when(f(acc, lo) <= 0, lo)).alias("lo"), F.coalesce(acc["hi"], F.when(f(acc, hi) >= 0, hi)).alias("hi"))
 
     def halve(acc, _):
         mid = (acc["lo"] + acc["hi"]) / 2
-        return F.when(f(mid) < 0, F.struct(mid.alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
-
-    root = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), F.struct(lo.alias("lo"), hi.alias("hi")), halve, lambda acc: (acc["lo"] + acc["hi"]) / 2)
-    return F.when(lo.isNotNull() & hi.isNotNull(), root)
+        low = f(acc, mid) < 0
+        return F.struct(*fixed(acc), F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
+
+    none = F.lit(None).cast("double")
+    start = F.struct(*[x.alias(n) for x, n in zip(k, names, strict=True)], h.alias("h"), none.alias("lo"), none.alias("hi"))
+    met = F.aggregate(F.sequence(F.lit(1), F.lit(int(widest // pad))), start, bracket)
+    share = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), met, halve, lambda acc: F.when(acc["lo"].isNotNull() & acc["hi"].isNotNull(), (acc["lo"] + acc["hi"]) / 2))
+    return a["t"] + share * h
 
 
 def with_baseline(df: DataFrame, ref_a: str, ref_b: str, sec_a: str, sec_b: str, target: str, t_ref: str, t_sec: str, name: str = "baseline") -> DataFrame:

@@ -99,3 +99,38 @@ def test_welch_and_ground_truth(spark):
     assert records.combined_ground_truth(df, df.drop("v")).count() == 20
     with pytest.raises(ValueError, match="VAL-014"):
         records.combined_ground_truth()
+
+
+def test_zero_doppler_on_curved_arcs(spark):
+    from fringeflow.operators import orbits
+
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for i in range(40):
+        h = 10.0
+        a, va = np.array([7.0e6, rng.normal() * 1e4, rng.normal() * 1e4]), np.array([rng.normal() * 50, 7000.0, 300.0 + rng.normal() * 50])
+        b = a + h * va + rng.normal(size=3) * 40
+        vb = va + rng.normal(size=3) * 8
+        t = np.array([6.3e6, rng.normal() * 3e4, 2e5])
+        rows.append((i, (0.0, *a.tolist(), *va.tolist()), (h, *b.tolist(), *vb.tolist()), tuple(t.tolist())))
+
+        def f(x, a=a, va=va, b=b, vb=vb, t=t):
+            s = x / h
+            p = (2 * s**3 - 3 * s**2 + 1) * a + (s**3 - 2 * s**2 + s) * h * va + (3 * s**2 - 2 * s**3) * b + (s**3 - s**2) * h * vb
+            v = ((6 * s**2 - 6 * s) * a + (3 * s**2 - 4 * s + 1) * h * va + (6 * s - 6 * s**2) * b + (3 * s**2 - 2 * s) * h * vb) / h
+            return (p - t) @ v
+
+        lo = next((-30.0 * k for k in range(1, 21) if f(-30.0 * k) <= 0), None)
+        hi = next((h + 30.0 * k for k in range(1, 21) if f(h + 30.0 * k) >= 0), None)
+        if lo is not None and hi is not None:
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+        want.append(None if lo is None or hi is None else lo)
+    rows.append((40, None, rows[0][2], rows[0][3]))
+    vector = "struct<t:double,x:double,y:double,z:double,vx:double,vy:double,vz:double>"
+    df = spark.createDataFrame(rows, f"i int, a {vector}, b {vector}, t struct<x:double,y:double,z:double>")
+    got = [r.z for r in df.select("i", orbits.zero_doppler(F.col("a"), F.col("b"), F.col("t")).alias("z")).orderBy("i").collect()]
+    assert got[40] is None and any(w is not None for w in want)
+    assert [g is None for g in got[:40]] == [w is None for w in want]
+    assert all(abs(g - w) < 1e-6 for g, w in zip(got, want) if w is not None)

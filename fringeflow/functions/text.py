@@ -37,11 +37,17 @@ def shorten(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
 
 
-def binary_size(n: Column) -> Column:
-    """Bytes in the largest binary unit that leaves at least one."""
-    out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
-    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+def binary_size(n: Column, largest: str = "TiB") -> Column:
+    """Bytes in the largest binary unit, up to ``largest``, that leaves at least one; a tenth that is halfway goes to the even one."""
+    n = n.cast("long")
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    units = ("KiB", "MiB", "GiB", "TiB")
+    for k, unit in enumerate(units[: units.index(largest) + 1], 1):
+        whole, rest = F.shiftright(n, 10 * k), n.bitwiseAND(F.lit(1024**k - 1)) * 10
+        tenths, over = F.shiftright(rest, 10 * k), rest.bitwiseAND(F.lit(1024**k - 1)) * 2
+        up = (over > 1024**k) | ((over == 1024**k) & (tenths % 2 == 1))
+        tenths = whole * 10 + tenths + up.cast("long")
+        out = F.when(n >= 1024**k, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

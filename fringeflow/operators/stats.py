@@ -16,6 +16,18 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 
+def mean_exceeds(x: Column, limit: str) -> Column:
+    """Aggregate: whether the mean is above ``limit``, a decimal; null of no value.
+
+    Doubles are added as the decimals that they are written as, so that a mean
+    of just the limit is not above it in whatever order rows come.  Where one
+    is no decimal of 10 and 18 digits (infinite, say), the mean of doubles decides.
+    """
+    exact = x.try_cast("decimal(28,18)")
+    added = F.when(F.count(x) == F.count(exact), F.try_sum(exact))
+    return F.coalesce(added > (F.lit(limit).cast("decimal(10,9)") * F.count(x)).cast("decimal(38,18)"), F.avg(x) > float(limit))
+
+
 def cycle_mode(df: DataFrame, keys: Sequence[str], cycle: str, weight: Column | None = None) -> DataFrame:
     """(keys..., mode, weight, total, share): the whole number of largest weight, then nearest zero, then smallest."""
     w = F.lit(1.0) if weight is None else weight.cast("double")

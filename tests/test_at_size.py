@@ -1,9 +1,14 @@
 """What shows only on larger tables: large sums, ties of averages, dense catalogues, grids of many tiles."""
 
+import functools
+import operator
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
 from fringeflow.functions import text
+from fringeflow.operators import stats
 from fringeflow.plans import ORACLES, QUERIES
 
 
@@ -33,3 +38,23 @@ def test_sizes_in_units(spark):
 
     df = spark.createDataFrame([(n,) for n in sizes], "n long")
     assert [r.s for r in df.orderBy("n").select(text.binary_size(F.col("n")).alias("s")).collect()] == [want(n) for n in sizes]
+
+
+def test_a_mean_of_just_the_limit_is_not_above_it(spark, tmp_path):
+    """Discounts of 0.05 on average, exactly: the order in which doubles are added doesn't matter."""
+    rng = random.Random(1)
+    rows = []
+    for k in range(40):
+        values = [c / 100 for c in range(11)] * 3
+        rng.shuffle(values)
+        rows += [(k, v) for v in values] + ([(k, 0.051)] if k % 4 == 0 else [])
+    assert any(functools.reduce(operator.add, [v for j, v in rows if j == k]) / 33 * 5 > 0.25 for k in range(40) if k % 4)
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.job: r.method for r in QUERIES["unwrap_schedule"](spark, str(tmp_path)).collect()}
+    assert got == {k: "defo" if k % 4 else "smooth" for k in range(40)}
+
+
+def test_means_that_are_no_decimals(spark):
+    rows = [("a", float("inf")), ("a", 0.1), ("b", float("nan")), ("c", None), ("d", 0.05), ("d", None), ("e", 0.050000000000000003), ("f", 0.0500000001), ("g", 1e300), ("h", -1e300)]
+    got = spark.createDataFrame(rows, "k string, x double").groupBy("k").agg(stats.mean_exceeds(F.col("x"), "0.05").alias("m"))
+    assert {r.k: r.m for r in got.collect()} == {"a": True, "b": True, "c": None, "d": False, "e": False, "f": True, "g": True, "h": False}

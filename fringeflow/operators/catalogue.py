@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import polarisations
-from .joins import interval_join
+from .frames import cut
+from .storage import numbered
 
 
 def by_direction(df: DataFrame, wanted: str, column: str = "direction") -> DataFrame:
@@ -79,15 +82,58 @@ def in_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Col
     return inside
 
 
+#: Moments or orbit files, counted, that are few enough to be broadcast.
+FEW = 1 << 18
+
+
 def choose_orbits(records: DataFrame, orbits: DataFrame, rank: dict[str, int], width: float = 86400.0) -> DataFrame:
-    """(id, orbit): of the orbit files of a record's mission valid at its time, the best kind, then the newest, then the last name.
+    """(id, orbit), one row an id: of the orbit files of its records' missions valid at their times, the best kind, then the newest, then the last name; null where none is.
 
     ``records``: id, mission, t; ``orbits``: mission, kind, start, stop, created, name.
+
+    Of files with the same validity only the best stays, and records meet
+    files by their distinct moments.  Moments and files of one mission and
+    bucket of ``width`` are swept in order of time with a heap of the files
+    now valid, so no record is paired with every file that is valid.
     """
     kind = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in rank.items()], F.lit(len(rank)))
-    met = interval_join(records, orbits, ["mission"], F.col("t"), F.col("start"), F.col("stop"), width)
-    best = F.max_by("name", F.struct(-kind, F.col("created"), F.col("name")))
-    return records.select("id").join(met.groupBy("id").agg(best.alias("orbit")), "id", "left")
+    spans = orbits.select("mission", F.col("start").cast("double").alias("at"), F.col("stop").cast("double").alias("stop"), F.struct((-kind).alias("kind"), "created", "name").alias("file"))
+    spans = cut(spans.where("mission is not null and at <= stop").groupBy("mission", "at", "stop").agg(F.max("file").alias("file")))
+    spans = numbered(spans, ["file", "mission", "at", "stop"], "place").select("mission", "at", "stop", "place", F.col("file.name").alias("orbit"))
+    spans = cut(spans)
+    moments = records.select("mission", F.col("t").cast("double").alias("at")).where("mission is not null and at is not null").distinct()
+    bucket = lambda c: F.floor(F.col(c) / width)
+    inside = spans.select("mission", F.explode(F.sequence(bucket("at"), bucket("stop"))).alias("_bucket"), "at", "stop", "place")
+    asked = moments.select("mission", bucket("at").alias("_bucket"), "at", F.lit(None).cast("double").alias("stop"), F.lit(None).cast("long").alias("place"))
+    keys = ["mission", "_bucket"]
+    both = inside.unionByName(asked).repartition(*keys).sortWithinPartitions(*keys, "at", F.col("stop").isNull())
+    best = cut(both.mapInArrow(_swept, StructType([*moments.schema.fields, StructField("place", LongType())])))
+    few = lambda df: F.broadcast(df) if df.count() <= FEW else df
+    found = records.select("id", "mission", F.col("t").cast("double").alias("at")).join(few(best), ["mission", "at"], "left")
+    chosen = found.groupBy("id").agg(F.max(F.when(F.col("id").isNotNull(), F.col("place"))).alias("place"))
+    return chosen.join(few(spans.select("place", "orbit")), "place", "left").select("id", "orbit")
+
+
+def _swept(batches):
+    """(mission, at, place): the largest place of the spans that hold each moment; rows come by mission, bucket and time, spans before moments."""
+    import pyarrow as pa
+
+    own, heap = None, []
+    for batch in batches:
+        out = []
+        for i, (mission, bucket, at, stop, place) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if (mission, bucket) != own:
+                own, heap = (mission, bucket), []
+            if stop is not None:
+                if not heap or -heap[0][0] < place or heap[0][1] < stop:  # else one that is better holds as long
+                    heapq.heappush(heap, (-place, stop))
+                continue
+            while heap and heap[0][1] < at:
+                heapq.heappop(heap)
+            if heap:
+                out.append((i, -heap[0][0]))
+        rows = batch.take(pa.array([i for i, _ in out], pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([p for _, p in out], pa.int64())], ["mission", "at", "place"])
 
 
 def matched(records: DataFrame, other: DataFrame, exact: Sequence[str], loose: Sequence[str], value: str) -> DataFrame:
@@ -134,8 +180,6 @@ def box_coverage(boxes: DataFrame, keys: Sequence[str], west: float, south: floa
 
 def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(node): everything downstream of the start nodes, breadth first until the front is empty; ``edges``: a, b."""
-    from .frames import cut
-
     edges = cut(edges.select("a", "b").distinct())
     found = front = cut(start.select("node").distinct())
     while front.limit(1).count():

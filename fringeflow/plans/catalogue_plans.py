@@ -57,9 +57,8 @@ def orbit_choice(spark, sf_dir):
         (F.col("o_custkey") % 3).alias("mission"), F.when(k % 3 == 0, "POEORB").when(k % 3 == 1, "RESORB").otherwise("PREORB").alias("kind"), (sec("o_orderdate") - 43200).alias("start"), (sec("o_orderdate") + 43200 * (1 + k % 3)).alias("stop"),
         F.col("o_totalprice").alias("created"), F.concat(F.lit("O"), F.lpad(k.cast("string"), 8, "0")).alias("name"),
     )
-    r = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_suppkey") % 3).alias("mission"), sec("l_shipdate").alias("t")).distinct()
-    out = cat.choose_orbits(r, o, {"POEORB": 0, "RESORB": 1, "PREORB": 2})
-    return out.groupBy("id").agg(F.max("orbit").alias("orbit"))
+    r = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_suppkey") % 3).alias("mission"), sec("l_shipdate").alias("t"))
+    return cat.choose_orbits(r, o, {"POEORB": 0, "RESORB": 1, "PREORB": 2})
 
 
 @plan(f"""with {PAIRS}, g as (select distinct o_custkey as stack, cast(o_orderdate as date) as date, o_orderkey % 2 as burst from orders), b as (select distinct stack, burst from g),

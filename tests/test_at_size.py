@@ -8,7 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from fringeflow.functions import text
-from fringeflow.operators import stats
+from fringeflow.operators import catalogue, stats
 from fringeflow.plans import ORACLES, QUERIES
 
 
@@ -58,3 +58,29 @@ def test_means_that_are_no_decimals(spark):
     rows = [("a", float("inf")), ("a", 0.1), ("b", float("nan")), ("c", None), ("d", 0.05), ("d", None), ("e", 0.050000000000000003), ("f", 0.0500000001), ("g", 1e300), ("h", -1e300)]
     got = spark.createDataFrame(rows, "k string, x double").groupBy("k").agg(stats.mean_exceeds(F.col("x"), "0.05").alias("m"))
     assert {r.k: r.m for r in got.collect()} == {"a": True, "b": True, "c": None, "d": False, "e": False, "f": True, "g": True, "h": False}
+
+
+def test_orbits_of_a_dense_catalogue(spark):
+    """Nested, touching and equal validities, several moments an id, ids and moments that are missing, against brute force."""
+    rng = random.Random(3)
+    rank = {"P": 0, "R": 1}
+    orbits = [(rng.randrange(3) or None, rng.choice(["P", "R", "X", None]), a := rng.randrange(60), a + rng.choice([-1, 0, 1, 3, 20, 60]), rng.choice([None, 1.0, 2.0]), f"o{k}") for k in range(400)]
+    records = [(rng.choice([None, *range(80)]), rng.choice([None, 1, 2, 3]), rng.choice([None, *range(-5, 130)])) for _ in range(200)]
+    score = lambda o: (-rank.get(o[1], 2), o[4] is not None, o[4] or 0, o[5])
+    want = {}
+    for i, m, t in records:
+        met = [score(o) for o in orbits if i is not None and None not in (m, t) and o[0] == m and o[2] <= t <= o[3]]
+        want[i] = max([*met, *filter(None, [want.get(i)])], default=None)
+    r, o = spark.createDataFrame(records, "id long, mission long, t long"), spark.createDataFrame(orbits, "mission long, kind string, start long, stop long, created double, name string")
+    got = catalogue.choose_orbits(r, o, rank, width=10.0).collect()
+    assert len(got) == len(want) and {x.id: x.orbit for x in got} == {i: w and w[3] for i, w in want.items()}
+
+
+def test_orbits_are_chosen_without_a_row_for_each_pair(spark):
+    """60,000 records and 60,000 files that are all valid on one mission's day: 3,600,000,000 pairs."""
+    n = 60_000
+    records = spark.range(n).select("id", F.lit(1).alias("mission"), (F.col("id") * 0.5).alias("t"))
+    part = F.col("id") * 0.25
+    orbits = spark.range(n).select(F.lit(1).alias("mission"), F.lit("P").alias("kind"), (-part).alias("start"), (part + 30_000).alias("stop"), F.col("id").cast("double").alias("created"), F.col("id").cast("string").alias("name"))
+    got = catalogue.choose_orbits(records, orbits, {"P": 0})
+    assert got.count() == n and [r.orbit for r in got.select("orbit").distinct().collect()] == [str(n - 1)]

@@ -173,33 +173,93 @@ def seam_cycles(merged: DataFrame, grid: DataFrame, value: str) -> DataFrame:
     return rows.unionByName(cols).where("cycle is not null")
 
 
+#: Edge of the squares that the adaptive filter works on, in pixels; pixels that it transforms at once; about.
+SQUARE, AT_ONCE = 64, 1 << 16
+
+
 def adaptive_filter(df: DataFrame, layer: Sequence[str], re: str, im: str, *, size: int = 8, alpha: float = 0.5) -> DataFrame:
     """(layer..., row, col, re, im): spectral filter S|S|^alpha over half-overlapping patches, tapered and added up.
 
-    Patches are rows of a shuffle: each pixel goes into the four patches that
-    hold it, each patch is one small transform in an Arrow group.
+    Layers are cut into squares of about ``SQUARE`` pixels.  A pixel goes to
+    its own square and to those that it is within half a patch of, so a group
+    holds all that its own pixels need and finishes them; the patches of many
+    squares are transformed together.
     """
     half = size // 2
+    blocks = max(1, SQUARE // half)  # of half a patch, along a square's edge
+    edge = half * blocks
     kinds = dict(df.dtypes)
-    block = lambda c: F.floor(F.col(c) / half)
-    parts = df.withColumn("_py", F.explode(F.array(block("row") - 1, block("row")))).withColumn("_px", F.explode(F.array(block("col") - 1, block("col"))))
-
-    def one(pdf):
-        import numpy as np
-        import pandas as pd
-
-        y, x = (pdf["row"] - pdf["_py"] * half).to_numpy(int), (pdf["col"] - pdf["_px"] * half).to_numpy(int)
-        z = np.zeros((size, size), complex)
-        z[y, x] = pdf[re].fillna(0).to_numpy() + 1j * pdf[im].fillna(0).to_numpy()
-        s = np.fft.fft2(z)
-        smooth = sum(np.roll(np.roll(np.abs(s), a, 0), b, 1) for a in (-1, 0, 1) for b in (-1, 0, 1)) / 9
-        peak = smooth.max()
-        out = np.fft.ifft2(s * (smooth / peak) ** alpha) if peak > 0 else z
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / edge), F.floor((F.col(c) + half) / edge)))
+    value = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    parts = df.select(*layer, "row", "col", value(re).alias("re"), value(im).alias("im")).withColumn("_sy", near("row")).withColumn("_sx", near("col"))
+    keys = [*layer, "_sy", "_sx"]
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*layer, "row", "col")), "re double", "im double"])
+    return parts.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_filtered(list(layer), half, size, blocks, alpha), schema)
+
+
+def _filtered(layer: list[str], half: int, size: int, blocks: int, alpha: float):
+    """The filter over rows sorted by layer and square."""
+    import numpy as np
+    import pyarrow as pa
+
+    def starts(t):
+        """Where the groups of equal keys begin."""
+        new = np.zeros(t.num_rows, bool)
+        new[0] = True
+        for c in (*layer, "_sy", "_sx"):
+            code = t.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        return np.flatnonzero(new)
+
+    def one(t):
+        first = starts(t)
+        group = np.repeat(np.arange(len(first)), np.diff([*first, t.num_rows]))
+        y, x = (t.column(c).to_numpy().astype(np.int64) - t.column(s).to_numpy() * (half * blocks) for c, s in (("row", "_sy"), ("col", "_sx")))
+        z = t.column("re").to_numpy() + 1j * t.column("im").to_numpy()
+        # the four patches of each pixel, those that hold none of the square's own left out
+        pixel, patch, place = [], [], []
+        for dy in (0, 1):
+            for dx in (0, 1):
+                by, bx = y // half - dy, x // half - dx
+                i = np.flatnonzero((by >= -1) & (by < blocks) & (bx >= -1) & (bx < blocks))
+                pixel.append(i)
+                patch.append((group[i] * (blocks + 1) + by[i] + 1) * (blocks + 1) + bx[i] + 1)
+                place.append((y[i] - by[i] * half) * size + x[i] - bx[i] * half)
+        pixel, patch, place = (np.concatenate(v) for v in (pixel, patch, place))
+        known, patch = np.unique(patch, return_inverse=True)
+        cells = np.zeros((len(known), size * size), complex)
+        cells[patch, place] = z[pixel]
+        s = np.fft.fft2(cells.reshape(-1, size, size))
+        power = np.abs(s)
+        smooth = sum(np.roll(power, (a, b), (1, 2)) for a in (-1, 0, 1) for b in (-1, 0, 1)) / 9
+        peak = smooth.max(axis=(1, 2), keepdims=True)
+        out = np.fft.ifft2(s * (smooth / np.where(peak > 0, peak, 1)) ** alpha).reshape(len(known), -1)
         ramp = 1 - np.abs((np.arange(size) + 0.5) / half - 1)
-        w = np.outer(ramp, ramp)[y, x]
-        got = pd.DataFrame({c: pdf[c] for c in (*layer, "row", "col")})
-        return got.assign(re=(out[y, x].real * w), im=(out[y, x].imag * w), w=w)
-
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*layer, "row", "col")), "re double", "im double", "w double"])
-    added = parts.groupBy(*layer, "_py", "_px").applyInPandas(one, schema).groupBy(*layer, "row", "col").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("w").alias("w"))
-    return added.select(*layer, "row", "col", (F.col("re") / F.col("w")).alias("re"), (F.col("im") / F.col("w")).alias("im"))
+        w = np.outer(ramp, ramp).ravel()[place]
+        part, n = out[patch, place] * w, len(z)
+        weight = np.bincount(pixel, w, n)
+        own = np.flatnonzero((y >= 0) & (y < half * blocks) & (x >= 0) & (x < half * blocks))
+        square = half * blocks
+        own = own[np.unique((group[own] * square + y[own]) * square + x[own], return_index=True)[1]]  # a repeated pixel is told once
+        kept = t.take(pa.array(own))
+        re, im = (np.bincount(pixel, v, n)[own] / weight[own] for v in (part.real, part.imag))
+        columns = [*(kept.column(c) for c in (*layer, "row", "col")), pa.array(re), pa.array(im)]
+        return pa.table(columns, names=[*layer, "row", "col", "re", "im"]).to_batches()
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= AT_ONCE:
+                t = pa.Table.from_batches(held)
+                last = starts(t)[-1]
+                if last:
+                    yield from one(t.slice(0, last))
+                held, rows = t.slice(last).combine_chunks().to_batches(), t.num_rows - last
+        if held:
+            yield from one(pa.Table.from_batches(held))
+
+    return run

@@ -1,14 +1,18 @@
 """What shows only on larger tables: large sums, ties of averages, dense catalogues, grids of many tiles."""
 
+import collections
 import functools
+import math
 import operator
 import random
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fringeflow.functions import text
-from fringeflow.operators import catalogue, stats
+from fringeflow.operators import catalogue, grids, stats
 from fringeflow.plans import ORACLES, QUERIES
 
 
@@ -84,3 +88,37 @@ def test_orbits_are_chosen_without_a_row_for_each_pair(spark):
     orbits = spark.range(n).select(F.lit(1).alias("mission"), F.lit("P").alias("kind"), (-part).alias("start"), (part + 30_000).alias("stop"), F.col("id").cast("double").alias("created"), F.col("id").cast("string").alias("name"))
     got = catalogue.choose_orbits(records, orbits, {"P": 0})
     assert got.count() == n and [r.orbit for r in got.select("orbit").distinct().collect()] == [str(n - 1)]
+
+
+@pytest.mark.parametrize("size, square", [(4, 64), (8, 16), (4, 6)])
+def test_adaptive_filter_in_squares(spark, monkeypatch, size, square):
+    """Layers larger than a square, with holes, missing values, negative places and an unnamed layer, against one patch after another."""
+    monkeypatch.setattr(grids, "SQUARE", square)
+    monkeypatch.setattr(grids, "AT_ONCE", 500)
+    rng, half, rows = np.random.default_rng(2), size // 2, []
+    for layer, (ny, nx) in {"a": (37, 21), "b": (8, 8), None: (5, 70)}.items():
+        for y in range(-3, ny - 3):
+            rows += [(layer, y, x, *(None if rng.random() < 0.05 else float("nan") if rng.random() < 0.05 else float(v) for v in rng.normal(size=2))) for x in range(nx) if rng.random() > 0.1]
+    want = collections.defaultdict(lambda: [0, 0])
+    for layer in ("a", "b", None):
+        z = {(y, x): complex(*(0 if v is None or math.isnan(v) else v for v in (a, b))) for n, y, x, a, b in rows if n == layer}
+        ramp = 1 - np.abs((np.arange(size) + 0.5) / half - 1)
+        for py, px in {(y // half - dy, x // half - dx) for y, x in z for dy in (0, 1) for dx in (0, 1)}:
+            at = [(i, j) for i in range(size) for j in range(size) if (py * half + i, px * half + j) in z]
+            patch = np.zeros((size, size), complex)
+            for i, j in at:
+                patch[i, j] = z[py * half + i, px * half + j]
+            s = np.fft.fft2(patch)
+            smooth = sum(np.roll(np.roll(np.abs(s), a, 0), b, 1) for a in (-1, 0, 1) for b in (-1, 0, 1)) / 9
+            out = np.fft.ifft2(s * (smooth / smooth.max()) ** 0.5) if smooth.max() else patch
+            for i, j in at:
+                sums = want[layer, py * half + i, px * half + j]
+                sums[0] += out[i, j] * ramp[i] * ramp[j]
+                sums[1] += ramp[i] * ramp[j]
+    df = spark.createDataFrame(rows, "layer string, row int, col int, a double, b double")
+    made = grids.adaptive_filter(df, ["layer"], "a", "b", size=size)
+    got = {(r.layer, r.row, r.col): complex(r.re, r.im) for r in made.collect()}
+    assert made.columns == ["layer", "row", "col", "re", "im"] and made.count() == len(rows) and set(got) == set(want)
+    assert max(abs(got[k] - v / w) for k, (v, w) in want.items()) < 1e-12
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan  # no call for each patch, one shuffle

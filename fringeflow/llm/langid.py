@@ -17,9 +17,9 @@ Characters that are not letters count as one blank; texts are lower-cased.
 Scale: every labelled document is counted, each task sending one row per
 distinct gram and language to a grouped sum.  The models hold every gram that
 occurs: they grow with the distinct 4-grams of the corpus, not with its text,
-and reach the driver one group of languages at a time.  Only the rejection range is fitted on a
-sample: of each language about ``calibration / 2`` distinct texts shared by
-the number of languages, but ``LEAST`` or all it has if that is less.
+and reach the driver one group of languages at a time.  The rejection range
+comes from all labelled documents: each is scored as it is and backwards, copies are
+told once, and tails are exact quantiles, found from grouped counts.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ UNDETERMINED = "und"
 #: Texts of so many characters or more set the limit of rejection, where there are any.
 LONG = 100
 
-#: Distinct texts sampled of each language at least, where it has them.
+#: Distinct texts of each language at least where a sample is asked for.
 LEAST = 500
 
 
@@ -298,56 +298,165 @@ def estimated(counted: DataFrame) -> Models:
     return Models(groups)
 
 
-def train(df: DataFrame, text: Column, label: Column, *, calibration: int = 20_000) -> Models:
-    """Models from all rows of ``df`` with a text and a label; the rejection range from a hashed sample of distinct texts of each language."""
+def train(df: DataFrame, text: Column, label: Column, *, calibration: int | None = None) -> Models:
+    """Models and the rejection range from all rows of ``df`` with a text and a label, each distinct text of a language once in the range.
+
+    With ``calibration`` the range is fitted on about so many rows of a
+    hashed sample instead.
+    """
     models = estimated(durable(gram_counts(df, text, label)))
     langs = models.langs
     if not langs:
         return models
     rows = df.select(text.cast("string").alias("text"), label.cast("string").alias("lang")).where("text is not null and lang is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # of each language about as many distinct texts, however many rows and copies there are
-    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds"))
-    each = max(LEAST, calibration // (2 * len(langs)))
-    cut = kinds.select("lang", F.least(F.lit(1.0), each / F.col("kinds")).alias("share"))
-    some = rows.join(F.broadcast(cut), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))
-    some = some.groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
-    turned = some.select(F.reverse("text").alias("text"), F.lit(None).cast("string").alias("lang"))
-    scored = score(some.unionByName(turned), "text", models, "language").select("lang", "language.*").where("letters > 0").toPandas()
-    backwards = scored["lang"].isna()
-    right = scored["lang"] == scored["best"]
+    if calibration is not None:
+        # of each language about as many distinct texts, however many rows and copies there are
+        kinds = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("kinds"))
+        each = max(LEAST, calibration // (2 * len(langs)))
+        share = kinds.select("lang", F.least(F.lit(1.0), each / F.col("kinds")).alias("share"))
+        rows = rows.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    facts = judged_both_ways(rows.select("text", "lang", "h"), models)
+    # copies have equal facts; they meet as numbers, not as texts
+    once = [F.first(c).alias(c) for c in ("best", "next", "chars", "entropy", "spread", "bits", "next_bits")]
+    facts = durable(facts.groupBy("lang", "h", "turned").agg(*once))
+    right = F.coalesce(F.col("lang") == F.col("best"), F.lit(False))
+
+    w, h = F.col("chars").cast("double"), F.col("entropy")
+    sums = facts.where("not turned").groupBy("lang", right.alias("right")).agg(F.sum(w), F.sum(w * h), F.sum(w * h * h), F.sum(w * F.col("spread"))).collect()
+    sums = {(r[0], r[1]): r[2:] for r in sums}
+
     # what would come to each language: texts read backwards, and those of other languages if these had no model
-    foreign = right & scored["next"].notna()
-    strange = [
-        tuple(scored.loc[rows, c].to_numpy() for c in columns)
-        for rows, columns in ((backwards, ("best", "entropy", "chars")), (foreign, ("next", "next_entropy", "chars")))
-    ]
+    group = lambda kind, key, hit: ((key * 3 + kind) * 2 + hit.cast("int")) * 2 + (F.col("chars") >= LONG).cast("int")
+    told = lambda due, g, bits: F.when(due, F.struct(g.alias("g"), F.col(bits).alias("bits")))
+    no = F.lit(False)
+    measures = F.array(
+        told(~F.col("turned"), group(0, F.col("lang"), right), "bits"),
+        told(F.col("turned"), group(1, F.col("best"), no), "bits"),
+        told(~F.col("turned") & right & F.col("next_bits").isNotNull(), group(2, F.col("next"), no), "next_bits"),
+    )
+    measures = durable(facts.select(F.explode(F.filter(measures, lambda x: x.isNotNull())).alias("m")).select("m.*"))
+    some = {r[0] for r in measures.select("g").distinct().collect()}
+
+    def tail(keys, kind: int, hit: bool) -> tuple[int, ...]:
+        """The groups of long texts, or of all if none is long."""
+        for long in (1, 0):
+            found = tuple(g for k in keys if (g := ((k * 3 + kind) * 2 + hit) * 2 + long) in some)
+            if found:
+                return found
+        return ()
+
+    own, low = {}, {}
+    for k in range(len(langs)):
+        own[k] = tail([k], 0, (k, True) in sums)  # if none is nearest its own language, all
+        low[k] = [g for kind in (1, 2) if (g := tail([k], kind, False) or tail(range(len(langs)), kind, False))]
+    wanted = {(g, 0.998) for g in own.values() if g} | {(g, 0.05) for x in low.values() for g in x}
+    at = quantiles(measures, wanted)
     models.mean, models.between, models.within, models.limit = (np.zeros(len(langs)) for _ in range(4))
-    for k, x in enumerate(langs):
-        own = scored[(scored["lang"] == x) & (scored["best"] == x)]
-        own = own if len(own) else scored[scored["lang"] == x]  # none is nearest its own language
-        if not len(own):  # no text of this language has a letter: nothing can be told to be of it
+    for k in range(len(langs)):
+        if not own[k]:  # no text of this language has a letter: nothing can be told to be of it
             models.mean[k], models.limit[k] = -np.inf, -np.inf
             continue
-        w = own["chars"].to_numpy(float)
-        h = own["entropy"].to_numpy()
-        models.mean[k] = np.average(h, weights=w)
-        models.within[k] = np.average(own["spread"].to_numpy(), weights=w)
-        models.between[k] = np.average((h - models.mean[k]) ** 2, weights=w)
-        high = _tail(h, w >= LONG, 0.998)
-        low = []
-        for to, entropy, chars in strange:
-            here = to == x if (to == x).any() else np.ones(len(to), bool)
-            low.append(_tail(entropy[here], chars[here] >= LONG, 0.05) if len(to) else np.inf)
-        low = min(low) if min(low) < np.inf else high
-        models.limit[k] = max(high, (high + low) / 2)
+        total, first, second, spread = sums[k, (k, True) in sums]
+        models.mean[k] = first / total
+        models.within[k] = spread / total
+        models.between[k] = max(0.0, second / total - models.mean[k] ** 2)
+        high = at[own[k], 0.998]
+        below = min((at[g, 0.05] for g in low[k]), default=high)
+        models.limit[k] = max(high, (high + below) / 2)
     return models
 
 
-def _tail(entropy: np.ndarray, long: np.ndarray, share: float) -> float:
-    """Quantile of long texts, or of all if none is long; minus infinity of none."""
-    some = entropy[long] if long.any() else entropy
-    return float(np.quantile(some, share)) if len(some) else -np.inf
+def judged_both_ways(rows: DataFrame, models: Models) -> DataFrame:
+    """(lang, h, turned, best, next, chars, entropy, spread, bits, next_bits): what the models say of each text that has a letter, and of it read backwards.
+
+    ``rows``: text, lang, h.  Languages are told by their places; ``bits``
+    are those of the entropy (of ``next``'s in ``next_bits``), which
+    sort as it does.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    names = ["lang", "h", "turned", "best", "next", "chars", "entropy", "spread", "bits", "next_bits"]
+
+    def run(batches):
+        m = shared.value
+        place = {x: k for k, x in enumerate(m.langs)}
+
+        def judged(texts, lang, h, turned):
+            got = _score([t[::-1] for t in texts] if turned else texts, m, 4.0)
+            i = np.flatnonzero(got["letters"] > 0)
+            no_next = np.isnan(got["next_entropy"][i])
+            bits = [np.maximum(got[c][i], 0.0).view(np.int64) for c in ("entropy", "next_entropy")]
+            columns = [
+                pa.array(np.array(lang, np.int32)[i]), pa.array(np.array(h, np.int64)[i]), pa.array(np.full(len(i), turned)),
+                *(pa.array([place.get(x) for x in got[c][i]], pa.int32()) for c in ("best", "next")),
+                *(pa.array(got[c][i]) for c in ("chars", "entropy", "spread")), pa.array(bits[0]), pa.array(bits[1], mask=no_next),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            texts, lang, h, chars = [], [], [], 0
+            for t, x, k in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                texts.append(t.as_py())
+                lang.append(place[x])
+                h.append(k)
+                chars += len(texts[-1])
+                if chars > AT_ONCE:
+                    yield judged(texts, lang, h, False)
+                    yield judged(texts, lang, h, True)
+                    texts, lang, h, chars = [], [], [], 0
+            if texts:
+                yield judged(texts, lang, h, False)
+                yield judged(texts, lang, h, True)
+
+    return rows.mapInArrow(run, "lang int, h long, turned boolean, best int, next int, chars long, entropy double, spread double, bits long, next_bits long")
+
+
+#: Bits of a double left out in each pass of the search for quantiles.
+PASSES = (44, 28, 12, 0)
+
+
+def quantiles(measures: DataFrame, wanted: set[tuple[tuple[int, ...], float]]) -> dict:
+    """Exact quantiles, linear between neighbours, of the numbers in groups taken together; ``measures``: g, bits (of doubles from 0 up).
+
+    Numbers are found by their leading bits, more in each pass: a pass counts
+    what shares the bits found so far, so at most 65,536 counts of a group
+    and number come to the driver, however many rows there are.
+    """
+    spark = measures.sparkSession
+    todo: dict = {}  # (groups, share, which) -> [leading bits, rank among those that have them]
+    part = {}
+    for turn, shift in enumerate(PASSES):
+        cells = measures.withColumn("cell", F.shiftright("bits", shift))
+        if turn:
+            known = PASSES[turn - 1]
+            needed = sorted({(g, p) for (groups, _, _), (p, _) in todo.items() for g in groups})
+            if not needed:
+                break
+            asked = spark.createDataFrame(needed, "g int, _lead long")
+            cells = cells.withColumn("_lead", F.shiftright("bits", known)).join(F.broadcast(asked), ["g", "_lead"], "left_semi")
+        counts: dict = {}
+        for g, cell, n in cells.groupBy("g", "cell").count().collect():
+            counts.setdefault(g, {})[cell] = n
+        if not turn:
+            for groups, share in wanted:
+                n = sum(sum(counts.get(g, {}).values()) for g in groups)
+                at = (n - 1) * share
+                part[groups, share] = at - int(at)
+                for which in (0, 1):
+                    todo[groups, share, which] = [None, min(int(at) + which, n - 1)]
+        for (groups, _, _), found in todo.items():
+            both: dict = {}
+            for g in groups:
+                for cell, n in counts.get(g, {}).items():
+                    if found[0] is None or cell >> (known - shift) == found[0]:
+                        both[cell] = both.get(cell, 0) + n
+            for cell in sorted(both):
+                if found[1] < both[cell]:
+                    found[0] = cell
+                    break
+                found[1] -= both[cell]
+    number = lambda bits: float(np.array([bits], np.int64).view(np.float64)[0])
+    return {k: float(np.quantile([number(todo[*k, 0][0]), number(todo[*k, 1][0])], f)) for k, f in part.items()}
 
 
 SCORED = "letters long, chars long, best string, entropy double, spread double, confidence double, next string, next_entropy double, accepted boolean"
@@ -419,7 +528,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, *, calibration: int = 20_000) -> DataFrame:
+def identify(df: DataFrame, id_col: str, text_col: str, label_col: str, *, calibration: int | None = None) -> DataFrame:
     """``df`` with a struct ``language`` more: lang, score (0 to 1), accepted, entropy, held_out.
 
     Learns from rows with a text and a label which are not held out; the

@@ -87,6 +87,48 @@ def test_language_rejection_is_set_for_rare_languages_and_among_copies(spark):
     assert set(got["best"]) == {"rare"} and not got["accepted"][:20].any() and got["accepted"][20:].all()
 
 
+def test_language_rejection_comes_from_every_text(spark):
+    """The range of more distinct texts than a sample would hold, copies once, against plain quantiles of all of them."""
+    import numpy as np
+
+    rng = random.Random(8)
+    made = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 6))) for _ in range(n))
+    rows = [(made(a, rng.choice((8, 40, 60))), x) for x, a in (("p", "abcdefg"), ("q", "cdefghijk"), ("r", "tuvwxyz")) for _ in range(4500 if x != "r" else 9)]
+    rows += rows[:700] + [("12 34", "p"), (None, "q"), ("abc", None)]
+    m = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(5), F.col("text"), F.col("lang"))
+    kept = sorted({r for r in rows if None not in r and any(c.isalpha() for c in r[0])})
+    texts, langs = [t for t, _ in kept], np.array([x for _, x in kept])
+    own, back = langid._score(texts, m, 4.0), langid._score([t[::-1] for t in texts], m, 4.0)
+
+    def tail(v, chars, share):
+        return np.quantile(v[chars >= langid.LONG] if (chars >= langid.LONG).any() else v, share)
+
+    hit = own["best"] == langs
+    for k, x in enumerate(m.langs):
+        i = hit & (langs == x)
+        w, h = own["chars"][i], own["entropy"][i]
+        high, low = tail(h, w, 0.998), []
+        for to, v, chars in ((back["best"], back["entropy"], back["chars"]), (own["next"][hit], own["next_entropy"][hit], own["chars"][hit])):
+            here = to == x if (to == x).any() else to == to
+            low.append(tail(v[here], chars[here], 0.05))
+        mean = np.average(h, weights=w)
+        want = (mean, np.average((h - mean) ** 2, weights=w), np.average(own["spread"][i], weights=w), max(high, (high + min(low)) / 2))
+        assert np.allclose((m.mean[k], m.between[k], m.within[k], m.limit[k]), want, rtol=1e-9, atol=1e-12), x
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    groups = {0: rng.gamma(3.0, 1.0, 5000), 1: np.repeat(2.5, 700), 2: np.array([0.0]), 3: np.round(rng.random(900), 2)}
+    rows = [(g, int(np.float64(v).view(np.int64))) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "g int, bits long")
+    wanted = {(g, share) for g in ((0,), (1,), (2,), (3,), (0, 1, 3)) for share in (0.0, 0.05, 0.5, 0.998, 1.0)}
+    got = langid.quantiles(df, wanted)
+    for g, share in wanted:
+        assert abs(got[g, share] - np.quantile(np.concatenate([groups[k] for k in g]), share)) < 1e-12
+
+
 def test_kneser_ney_sums_to_one(spark):
     """Over all continuations of a context, the model's probabilities add up to about one."""
     import numpy as np

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fringeflow.llm import collisions, common, pivots, queries, shingles, simhash
@@ -162,6 +163,33 @@ def test_similar_texts_are_those_of_the_threshold(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in got.collect()) == want and links > 400
 
 
+def test_similar_texts_come_from_the_index_over_fingerprint_bytes(spark, monkeypatch):
+    """Pairs of few differing bits are linked by the byte index, all of them, and nowhere else; without it they would be lost."""
+    rng = random.Random(21)
+    rows = []
+    for k in range(40):
+        words = [str(rng.randrange(10**6)) for _ in range(300)]
+        for c in range(4):
+            rows.append((4 * k + c, " ".join(words)))
+            words[rng.randrange(300)] = str(rng.randrange(10**6))
+    want, _ = brute_similar(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, real = [], shingles.linked_fingerprints
+
+    def spied(nodes, bits, max_bits, block):
+        links = real(nodes, bits, max_bits, block)
+        fps = {r.node: int.from_bytes(r.fp, "big") for r in nodes.collect()}
+        near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= max_bits]
+        assert components(fps, near) == components(fps, [(r.a, r.b) for r in links.collect()]) and near
+        seen.append(bits)
+        return links
+
+    monkeypatch.setattr(shingles, "linked_fingerprints", spied)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == want and seen == [128]
+    monkeypatch.setattr(shingles, "linked_fingerprints", lambda nodes, *_: nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+    assert len(corpus_pipeline.near_duplicates(spark, df, SF).collect()) > len(want)
+
+
 def brute_neighbours(rows, k=10):
     good = [r for r in rows if r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     ids, x = np.array([r[0] for r in good]), np.array([r[1] for r in good], float)

@@ -35,6 +35,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a small table that the driver takes and broadcasts.
+FEW_LISTS = 50_000
+
+
+def few_rows(df: DataFrame) -> DataFrame | None:
+    """``df`` cut from its lineage, to be broadcast where it has at most ``FEW_LISTS`` rows; None where it has none.
+
+    Few rows go by the driver and leave no files: a checkpoint has a file for
+    every task, and for each of these a local file system starts processes.
+    """
+    some = df.limit(FEW_LISTS + 1).toArrow()
+    if some.num_rows > FEW_LISTS:
+        return durable(df)
+    return F.broadcast(df.sparkSession.createDataFrame(some, df.schema)) if some.num_rows else None
+
+
 def words_of(text):
     """Number of words of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -68,7 +84,7 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 LINKS_AT_ONCE, HUB = 1 << 14, 1 << 12
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (a, b) to links from each node to the smallest one connected here; at most one a node."""
     a = b = np.zeros(0, np.int64)
 
@@ -100,11 +116,9 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, counted: D
     that is known.
     """
     hubs = (left.groupBy(key).count() if counted is None else counted).where(F.col("count") > HUB)
-    hubs = durable(hubs.select(key, F.ceil(F.col("count") / HUB).cast("int").alias("_parts")))
-    n = hubs.count()
-    if not n:
+    hubs = few_rows(hubs.select(key, F.ceil(F.col("count") / HUB).cast("int").alias("_parts")))
+    if hubs is None:
         return left.join(right, key, "left")
-    hubs = F.broadcast(hubs) if n <= FEW_LISTS else hubs
     dealt = left.join(hubs, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     again = right.join(hubs, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(again, [key, "_part"], "left").drop("_part")
@@ -122,9 +136,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     root anywhere, so every level has fewer nodes, by a third on random
     paths; a node has at most one link per task, so none is a hub, and the
     way back, where a component's nodes share a root, is a join that deals
-    hot keys.  Nothing is gathered on the driver, and lineage is cut by
-    reliable checkpoints.  Null ends and self-links are ignored; an empty
-    list gives an empty result.
+    hot keys.  Nothing but the sizes of hot keys is gathered on the driver,
+    and lineage is cut by reliable checkpoints, the edges' own too, so they
+    need none before.  Null ends and self-links are ignored; an empty list
+    gives an empty result.
     """
     links = durable(edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("u"), F.col(b).alias("v")))
     found = _levels(links)
@@ -134,7 +149,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 def _levels(links: DataFrame) -> DataFrame:
     """(u, v): each node that is not the smallest of its component, with the smallest; ``links`` are durable."""
     parts = -(-links.count() // LINKS_AT_ONCE) or 1
-    local = durable(links.coalesce(parts).mapInArrow(_contract, "u long, v long"))
+    local = durable(links.coalesce(parts).mapInArrow(contracted, "u long, v long"))
     if parts == 1:
         return local
     low = durable(local.groupBy("u").agg(F.min("v").alias("m")))
@@ -145,10 +160,6 @@ def _levels(links: DataFrame) -> DataFrame:
     return durable(up.select("u", F.coalesce("top", "m").alias("v")).union(roots).distinct())
 
 
-#: Long lists up to this many are broadcast to the postings.
-FEW_LISTS = 50_000
-
-
 def dealt_lists(posted: DataFrame, key: str, node: str, block: int, counted: DataFrame | None = None) -> DataFrame:
     """Postings with ``own``, ``lo``, ``hi``: a list's chunk of each row, and the two chunks compared where it goes.
 
@@ -159,12 +170,11 @@ def dealt_lists(posted: DataFrame, key: str, node: str, block: int, counted: Dat
     postings where a cheaper table has the same keys as often.
     """
     long = (posted if counted is None else counted).groupBy(key).count().where(F.col("count") > block)
-    long = durable(long.select(key, F.ceil(F.col("count") / block).cast("int").alias("chunks")))
-    n = long.count()
+    long = few_rows(long.select(key, F.ceil(F.col("count") / block).cast("int").alias("chunks")))
     zero = F.lit(0)
-    if not n:
+    if long is None:
         return posted.withColumns({"own": zero, "lo": zero, "hi": zero})
-    parts = posted.join(F.broadcast(long) if n <= FEW_LISTS else long, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    parts = posted.join(long, key, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     parts = parts.withColumn("own", F.pmod(F.xxhash64(node), F.col("chunks")).cast("int"))
     parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return parts.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("chunks", "other")

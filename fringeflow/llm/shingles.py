@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, dealt_lists, durable, free_name, runs_of_groups, spread_join
+from .common import connected_components, contracted, dealt_lists, durable, free_name, runs_of_groups, spread_join
 from .simhash import AT_ONCE, SHORT, fingerprints, linked_fingerprints, shingle_hashes
 
 #: Differing bits of 128 up to which the index over fingerprint bytes holds every pair.
@@ -159,7 +159,7 @@ def _spread(n: int, near) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def _links(threshold: float, keys: list[str]):
-    """Candidate links within posting lists, but those that the index over fingerprint bytes has."""
+    """Candidate links within posting lists, but those that the index over fingerprint bytes has; contracted to one a text."""
 
     def run(batches):
         for t in runs_of_groups(batches, keys):
@@ -196,7 +196,11 @@ def _links(threshold: float, keys: list[str]):
                 links = np.unique(np.stack([node[a[far]], node[b[far]]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
 
-    return run
+    def once(batches):
+        for batch in contracted(run(batches)):
+            yield batch.rename_columns(["a", "b"])
+
+    return once
 
 
 def _verify(threshold: float, keys: list[str]):
@@ -257,7 +261,7 @@ def _small(df: DataFrame) -> DataFrame:
 def indexed_links(nodes: DataFrame, block: int) -> DataFrame:
     """Links (a, b) that connect what all pairs of at most ``NEAR`` differing bits connect, by the index over fingerprint bytes."""
     word = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    own = durable(nodes.select("node", F.concat(word("f0"), word("f1")).alias("fp")))
+    own = nodes.select("node", F.concat(word("f0"), word("f1")).alias("fp"))
     first = durable(own.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("count")))
     same = spread_join(own, first.select("fp", "first"), "fp", "node", first.select("fp", "count")).where("node <> first")
     links = linked_fingerprints(first.select(F.col("first").alias("node"), "fp"), 128, NEAR, block)
@@ -270,7 +274,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, width: int, threshold: flo
     keys = ["token", "lo", "hi"]
     parts = dealt_lists(posted, "token", "node", block).drop("own").repartition(*keys).sortWithinPartitions(*keys)
     rest = parts.mapInArrow(_links(threshold, keys), "a long, b long")
-    groups = connected_components(durable(rest.unionByName(indexed_links(nodes, block))))
+    groups = connected_components(rest.unionByName(indexed_links(nodes, block)))
 
     members = durable(groups.join(nodes.select("node", "rep"), "node"))
     wanted = members.select(F.col("node").alias("member"), "rep", "root")
@@ -278,7 +282,7 @@ def similar_links(texts: DataFrame, nodes: DataFrame, width: int, threshold: flo
     held = texts.join(_small(wanted), same).select("root", "node", "text").mapInArrow(_sets(width), "root long, node long, f0 long, f1 long, shingles binary")
     keys = ["root", "lo", "hi"]
     cells = dealt_lists(held, "root", "node", CHUNK, members).drop("own").repartition(*keys).sortWithinPartitions(*keys)
-    return durable(cells.mapInArrow(_verify(threshold, keys), "a long, b long"))
+    return cells.mapInArrow(_verify(threshold, keys), "a long, b long")
 
 
 def without_similar(df: DataFrame, id_col: str, text_col: str, *, width: int = 5, threshold: float = 0.8, block: int = 4096) -> DataFrame:

@@ -153,7 +153,7 @@ def linked_fingerprints(nodes: DataFrame, bits: int, max_bits: int, block: int)
     parts = dealt_lists(posted, "token", "node", block)
     keys = ["token", "lo", "hi"]
     parts = parts.repartition(*keys).sortWithinPartitions(*keys)
-    return durable(parts.mapInArrow(_tally(n_bytes, max_bits, keys), "a long, b long"))
+    return parts.mapInArrow(_tally(n_bytes, max_bits, keys), "a long, b long")
 
 
 def _raw(column, n_bytes: int) -> np.ndarray:

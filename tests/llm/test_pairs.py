@@ -190,6 +190,42 @@ def test_similar_texts_come_from_the_index_over_fingerprint_bytes(spark, monkeyp
     assert len(corpus_pipeline.near_duplicates(spark, df, SF).collect()) > len(want)
 
 
+def test_similar_texts_leave_few_files(spark, monkeypatch):
+    """Links are written once and sizes of long lists not at all, as a process is started for each file of a checkpoint."""
+    words = [[str((k + 7) * (i + 3) % 997) for i in range(60)] for k in range(30)]
+    rows = [(2 * k + c, " ".join(w + ["x"] * c)) for k, w in enumerate(words) for c in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    written, real = [], common.durable
+
+    def spied(frame):
+        written.append(frame.columns)
+        return real(frame)
+
+    for module in (common, shingles, simhash):
+        monkeypatch.setattr(module, "durable", spied)
+    got = sorted(r.doc_id for r in shingles.without_similar(df, "doc_id", "text").collect())
+    assert got == brute_similar(rows)[0]
+    assert not [c for c in written if c in (["a", "b"], ["token", "chunks"], ["fp", "_parts"], ["node", "fp"])]
+    assert len(written) <= 8
+
+
+@pytest.mark.parametrize("few", [0, 3, common.FEW_LISTS])
+def test_few_rows(spark, monkeypatch, few):
+    """Small tables are broadcast, larger ones durable, with the same rows; none is told from some."""
+    monkeypatch.setattr(common, "FEW_LISTS", few)
+    df = spark.createDataFrame([(b"\x00\xff", 1), (None, 2), (b"", 3), (b"k", None)], "fp binary, n int")
+    got = common.few_rows(df)
+    assert got.schema == df.schema and sorted(map(repr, got.collect())) == sorted(map(repr, df.collect()))
+    assert common.few_rows(df.limit(0)) is None
+    left, right = spark.range(60).selectExpr("id % 3 as k", "id"), spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    monkeypatch.setattr(common, "HUB", 4)
+    joined = common.spread_join(left, right, "k", "id").collect()
+    assert sorted((r.id, r.v) for r in joined) == [(i, {0: "a", 1: "b"}.get(i % 3)) for i in range(60)]
+    dealt = common.dealt_lists(left, "k", "id", 5)
+    pairs = collections.Counter((r.k, r.lo, r.hi, r.id) for r in dealt.collect())
+    assert set(pairs.values()) == {1} and {i for *_, i in pairs} == set(range(60)) and max(hi for _, _, hi, _ in pairs) == 3
+
+
 def brute_neighbours(rows, k=10):
     good = [r for r in rows if r[1] and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     ids, x = np.array([r[0] for r in good]), np.array([r[1] for r in good], float)
